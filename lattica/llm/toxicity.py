@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017), in numpy.
 
-The classifier is linear over which hashed words a text holds. It is trained from confirmed toxic texts and unlabelled
+The classifier is linear over which hashed words, beginnings of words and five-letter pieces a text holds. It is trained from confirmed toxic texts and unlabelled
 ones: with class prior p, the risk of calling unlabelled texts toxic minus p times that of the positives estimates the
 risk on clean texts; where that estimate falls below zero the model has begun to fit noise, and its gradient is turned.
 """
@@ -22,8 +22,10 @@ from .common import texts
 
 BITS = 20
 #: Texts of either kind from which the model is fitted, at most: the first by a hash of their ids.
-MAX_POSITIVE, MAX_UNLABELLED = 6000, 18000
-SEED, STEPS, RATE, SPARSITY = 7, 300, 0.05, 2e-4
+MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
+SEED, STEPS, RATE, SPARSITY = 7, 300, 0.05, 3e-4
+#: Standard errors by which a feature's share among positives must differ from that among unlabelled texts.
+SCREEN = 3.0
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -34,26 +36,39 @@ class Model:
 
 
 class Buckets:
-    """Hashed words of a text, each once: cut at white space, lower-cased, without marks at their edges."""
+    """Hashed features of a text, each once: per word (cut at white space, lower-cased, without marks at its edges) the
+    word, its beginnings of 4 to 7 letters, and the runs of 5 letters in it, edges marked; and that 2 or 4 words of the
+    text share the same first five letters."""
 
-    def __init__(self, bits: int = BITS, cached: int = 300_000):
+    def __init__(self, bits: int = BITS, cached: int = 100_000):
         self.mask, self.cached = (1 << bits) - 1, cached
-        self.known: dict[str, int] = {}
+        self.known: dict[str, np.ndarray] = {}
+
+    def _word(self, word: str) -> np.ndarray:
+        bare = EDGES.sub("", word).lower()
+        if not bare:
+            return np.empty(0, np.int32)
+        marked = f"^{bare[:64]}$"
+        parts = dict.fromkeys([marked[:6], "=" + bare, *(marked[:n] for n in range(5, 9) if n < len(marked)), *(marked[i : i + 5] for i in range(len(marked) - 4))])
+        return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & self.mask for x in parts], np.int32)
 
     def of(self, text: str) -> np.ndarray:
         known, out = self.known, []
         for word in set(text.split()):
-            bucket = known.get(word)
-            if bucket is None:
-                bare = EDGES.sub("", word).lower()
-                bucket = zlib.crc32(bare.encode("utf-8", "surrogatepass")) & self.mask if bare else -1
+            found = known.get(word)
+            if found is None:
+                found = self._word(word)
                 if len(word) <= 64:
                     if len(known) >= self.cached:
                         known.clear()
-                    known[word] = bucket
-            out.append(bucket)
-        found = np.unique(np.array(out, np.int32))
-        return found[1:] if len(found) and found[0] < 0 else found
+                    known[word] = found
+            if len(found):
+                out.append(found)
+        if not out:
+            return np.empty(0, np.int32)
+        first, count = np.unique(np.array([x[0] for x in out]), return_counts=True)
+        several = [(first[count >= n] * 31 + n) & self.mask for n in (2, 4)]
+        return np.unique(np.concatenate([*out, *several]))
 
 
 def fold(id_col: str) -> Column:
@@ -61,8 +76,8 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, steps: int = STEPS, rate: float = RATE, sparsity: float = SPARSITY) -> Model:
-    """Full-batch Adam on the non-negative risk with sigmoid loss and an L1 proximal step; deterministic.
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, steps: int = STEPS, rate: float = RATE, sparsity: float = SPARSITY, screen: float = SCREEN) -> Model:
+    """Full-batch Adam on the non-negative risk with logistic loss and an L1 proximal step; deterministic.
 
     Without texts of either kind the model is zero and its bias says the prior.
     """
@@ -71,32 +86,35 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model(weights, start)
-    every = [*positive, *unlabelled]
-    lengths = np.array([len(x) for x in every])
-    flat = np.concatenate(every)
-    # Buckets in under three texts can't be told from noise.
-    seen = np.flatnonzero(np.bincount(flat, minlength=1 << bits) >= 3)
+    # Only features that stand out among the positives can say something; most are noise, and dropped before the fit.
+    counts = [np.zeros(1 << bits, np.int32) for _ in range(2)]
+    for count, group in zip(counts, (positive, unlabelled), strict=True):
+        for x in group:
+            count[x] += 1
+    q, r = counts[0] / len(positive), counts[1] / len(unlabelled)
+    both = (counts[0] + counts[1]) / (len(positive) + len(unlabelled))
+    error = np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
+    seen = np.flatnonzero((np.abs(q - r) > screen * error) & (counts[0] + counts[1] >= 3))
     place = np.full(1 << bits, -1, np.int32)
     place[seen] = np.arange(len(seen))
-    rows = np.repeat(np.arange(len(every)), lengths)
-    keep = place[flat] >= 0
-    cols, rows = place[flat][keep], rows[keep]
-    n, d, n_pos = len(every), len(seen), len(positive)
+    kept = [p[p >= 0] for p in (place[x] for x in (*positive, *unlabelled))]
+    cols, rows = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+    n, d, n_pos = len(kept), len(seen), len(positive)
     w, b = np.zeros(d), start
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     for t in range(1, steps + 1):
         f = np.bincount(rows, w[cols], n) + b
-        # l(z) = sigmoid(-z): loss of output z for a positive, l(-z) for a negative; s is both's slope.
-        p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        s = p * (1 - p)
-        clean = p[n_pos:].mean() - prior * p[:n_pos].mean()
+        f = np.clip(f, -30, 30)
+        p = 1 / (1 + np.exp(-f))
+        negative = np.logaddexp(0, f)  # loss of calling a text toxic if it is clean
+        clean = negative[n_pos:].mean() - prior * negative[:n_pos].mean()
         g = np.empty(n)
-        if clean >= 0:
-            g[:n_pos] = -2 * prior * s[:n_pos] / n_pos
-            g[n_pos:] = s[n_pos:] / (n - n_pos)
+        if clean >= 0:  # the risk's slope: the positives' two terms add up to a constant
+            g[:n_pos] = -prior / n_pos
+            g[n_pos:] = p[n_pos:] / (n - n_pos)
         else:
-            g[:n_pos] = prior * s[:n_pos] / n_pos
-            g[n_pos:] = -s[n_pos:] / (n - n_pos)
+            g[:n_pos] = prior * p[:n_pos] / n_pos
+            g[n_pos:] = -p[n_pos:] / (n - n_pos)
         gw, gb = np.bincount(cols, g[rows], d), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
