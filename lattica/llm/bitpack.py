@@ -124,7 +124,7 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k] + self.lengths[k]))
 
 
-def write_ids(docs: DataFrame, path: str, pattern: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: int = 50257, files: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: int = 50257, files: int | None = None) -> DataFrame:
     """Encode the documents and write their ids, each followed by end_id, in ascending order of id; return the manifest.
 
     Manifest: file (its order), path, n_docs, n_ids, base (ids in the files before). Null text counts as empty. Rows with
@@ -138,7 +138,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, folder: str | None = Non
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, first = encoder(path, pattern).encode, None, 0
+        encode, writer, first = encoder(path).encode, None, 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
                 if writer is None:

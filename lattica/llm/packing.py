@@ -2,8 +2,9 @@
 
 One pass per partition holds a fixed number of open bins, found through a bitset keyed by free space: a piece goes to
 the open bin that it leaves least space in; where none fits, a new bin opens, and if that is one too many, the fullest
-closes. The pieces of the bins that are open at a partition's end are packed again, for `merged` partitions together,
-so that what a small partition leaves half empty doesn't stay so. Pieces never move between tasks before that.
+closes. Pieces are looked at `window` at a time, the longest of them first. The pieces of the bins that are open at a
+partition's end, unless almost full, are packed again for `merged` partitions together, so that what a small partition
+leaves half empty doesn't stay so. Pieces never move between tasks before that.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .common import stored, texts
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
-OPEN_BINS, MERGED = 256, 64
+OPEN_BINS, WINDOW, MERGED = 1024, 2048, 16
+#: A bin with at most this share free counts as full at a partition's end.
+ALMOST = 1 / 32
 
 
 class BestFit:
@@ -62,7 +65,7 @@ class BestFit:
         return number
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) of each document's ids plus end_id.
 
     Only documents longer than the capacity are cut: all pieces but the first then have the capacity's length. Null text
@@ -71,7 +74,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode
+        encode = encoder(path).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
@@ -98,18 +101,20 @@ def _pieces(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
 
-def _first_pass(capacity: int, open_bins: int, length_col: str):
+def _first_pass(capacity: int, open_bins: int, window: int, length_col: str):
     """Adds sequence_id and offset; rows of bins that stay open get nulls there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        fit, held, last = BestFit(capacity, open_bins), {}, None
+        fit, held = BestFit(capacity, open_bins), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             index, ids, offsets = [], [], []
-            for i, size in enumerate(batch.column(length_col).to_pylist()):
-                number, offset, closed = fit.place(size)
+            sizes = batch.column(length_col).to_pylist()
+            order = [i for at in range(0, len(sizes), window) for i in sorted(range(at, min(at + window, len(sizes))), key=lambda i: -sizes[i])]
+            for i in order:
+                number, offset, closed = fit.place(sizes[i])
                 held.setdefault(number, []).append((batch, i, offset))
                 for done in closed:
                     for part, row, at in held.pop(done):
@@ -126,12 +131,12 @@ def _first_pass(capacity: int, open_bins: int, length_col: str):
                 for k, (part, row, at) in enumerate(rows):
                     if part is batch:
                         rows[k] = (part.take(pa.array([row])), 0, at)
-            last = batch
-        rest = [part.slice(row, 1) for rows in held.values() for part, row, _ in rows]
-        if rest:
-            table = pa.Table.from_batches(rest, last.schema).combine_chunks().to_batches()
-            for part in table:
-                yield _placed(part, None, None)
+        full = {n for free in range(int(capacity * ALMOST) + 1) for n in fit.at[free]}
+        for done in (True, False):
+            rest = [(base + n, part, at) for n, rows in held.items() if (n in full) == done for part, _, at in rows]
+            if rest:
+                batch = pa.Table.from_batches([part for _, part, _ in rest]).combine_chunks().to_batches()[0]
+                yield _placed(batch, [n for n, _, _ in rest] if done else None, [at for _, _, at in rest] if done else None)
 
     return run
 
@@ -163,7 +168,7 @@ def _last_pass(capacity: int, length_col: str):
     return run
 
 
-def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, merged: int = MERGED) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, window: int = WINDOW, merged: int = MERGED) -> DataFrame:
     """Add sequence_id and offset to each row: rows of one sequence_id lie gapless from 0 and fill at most the capacity.
 
     Every row is placed once, with all its columns (an existing sequence_id or offset is replaced). Lengths must lie
@@ -172,15 +177,15 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     """
     pieces = pieces.drop("sequence_id", "offset")
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    first = stored(pieces.mapInArrow(_first_pass(capacity, open_bins, length_col), schema))
+    first = stored(pieces.mapInArrow(_first_pass(capacity, open_bins, window, length_col), schema))
     left = first.where("sequence_id is null")
     tasks = max(1, -(-left.rdd.getNumPartitions() // merged))
     return first.where("sequence_id is not null").unionAll(left.coalesce(tasks).mapInArrow(_last_pass(capacity, length_col), schema))
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:
     """Token pieces of documents with their places: doc_id, piece, start, length, ids, sequence_id, offset."""
-    return pack(token_pieces(docs, path, pattern), **options)
+    return pack(token_pieces(docs, path), **options)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ FROM t GROUP BY conv_id
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), pattern())
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -105,7 +105,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = bitpack.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), pattern())
+    manifest = bitpack.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return bitpack.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
