@@ -10,8 +10,10 @@ once, so lookahead is bounded by the longest token.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_all(ranks: dict[bytes, int], data: bytes) -> list[int]:
-    """The encoding by its definition: merge the pair of lowest rank, the leftmost first, until none is left."""
+def merge_all(ranks: dict[bytes, int], data: bytes, least: int = 1) -> list[int]:
+    """The encoding by its definition: merge the pair of lowest rank, the leftmost first, until none (or `least` parts) are left."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
+    while len(parts) > least:
         best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
         if parts[best] + parts[best + 1] not in ranks:
             break
@@ -37,33 +39,41 @@ def merge_all(ranks: dict[bytes, int], data: bytes) -> list[int]:
 
 
 class Transducer:
-    """encode(part) gives the ids of one part of the pattern. At most `states` states are kept; then it starts anew."""
+    """encode(part) gives the ids of one part of the pattern.
+
+    A transition is determinised and kept when it is taken for the second time; until then the guesses are followed as they
+    are. At most about `states` states are kept, then the machine starts anew.
+    """
 
     def __init__(self, ranks: dict[bytes, int], states: int = 50_000):
         self.ranks, self.limit = ranks, states
-        self.token = {i: b for b, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        children: list[dict[int, int]] = [{}]
+        ends = [-1]
+        #: The two tokens whose merge makes a token last; None for bytes, and for tokens that merging does not reach, which
+        #: stand for themselves only as a whole part.
+        self.halves: dict[int, tuple[int, int] | None] = {}
         for data, i in ranks.items():
+            halves = merge_all(ranks, data, 2) if len(data) > 1 else None
+            self.halves[i] = tuple(halves) if halves and len(halves) == 2 and merge_all(ranks, data) == [i] else None
             at = 0
             for c in data:
-                down = self.children[at].get(c)
+                down = children[at].get(c)
                 if down is None:
-                    down = self.children[at][c] = len(self.ends)
-                    self.children.append({})
-                    self.ends.append(-1)
+                    down = children[at][c] = len(ends)
+                    children.append({})
+                    ends.append(-1)
                 at = down
-            self.ends[at] = i
-        #: Tokens that merging does not reach: they stand for themselves only as a whole part.
-        self.unreached = {i for b, i in ranks.items() if len(b) > 1 and merge_all(ranks, b) != [i]}
-        self.follows: dict[tuple[int, int], bool] = {}
+            ends[at] = i if len(data) == 1 or self.halves[i] else -1
+        #: By trie node and byte: the next node, or -1 if it has no children, and the token that ends there, or -1.
+        self.steps = [{c: (down if children[down] else -1, ends[down]) for c, down in row.items()} for row in children]
+        self.token = {i: b for b, i in ranks.items()}
+        self.follows: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.guesses: list[tuple] = []
-        self.final: list[tuple[int, ...] | None] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.moves: list[dict[int, tuple[int, tuple[int, ...]] | None]] = []
         self._number(((0, -1, ()),))
 
     def _number(self, guesses: tuple) -> int:
@@ -71,47 +81,82 @@ class Transducer:
         if n is None:
             n = self.numbers[guesses] = len(self.guesses)
             self.guesses.append(guesses)
-            self.final.append(next((pending for node, _, pending in guesses if node == 0), None))
             self.moves.append({})
         return n
 
     def may_follow(self, a: int, b: int) -> bool:
-        key = (a, b)
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) > 300_000:
-                self.follows.clear()
-            known = self.follows[key] = merge_all(self.ranks, self.token[a] + self.token[b]) == [a, b]
+        """Whether merging the bytes of a and b leaves a, b: undo the latest merge next to the border, again and again; a pair across
+        the border that would have merged before that one did breaks the border."""
+        key = a << 32 | b
+        left, right = a, b
+        bound = 1 << 40  # the pair across the border must not merge before the merge of this rank
+        while True:
+            joined = self.ranks_of_pair(left, right)
+            if joined is not None and joined < bound:
+                known = False
+                break
+            x, y = self.halves[left], self.halves[right]
+            if x and (left > right or not y):
+                bound, left = left, x[1]
+            elif y:  # on the right, an equal rank across the border comes first, as it lies further left
+                bound, right = right + 1, y[0]
+            else:
+                known = True
+                break
+        if len(self.follows) > 500_000:
+            self.follows.clear()
+        self.follows[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition: the next state and what is now certain."""
-        live = []
-        for node, last, pending in self.guesses[state]:
-            down = self.children[node].get(byte)
-            if down is None:
+    def ranks_of_pair(self, a: int, b: int) -> int | None:
+        return self.ranks.get(self.token[a] + self.token[b])
+
+    def _next(self, guesses: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The guesses alive after a byte, and the tokens that are now certain."""
+        live, steps, follows = [], self.steps, self.follows
+        for node, last, pending in guesses:
+            step = steps[node].get(byte)
+            if step is None:
                 continue
-            if self.children[down]:
+            down, end = step
+            if down >= 0:
                 live.append((down, last, pending))
-            end = self.ends[down]
-            if end >= 0 and end not in self.unreached and (last < 0 or self.may_follow(last, end)):
+            if end >= 0:
+                if last >= 0:
+                    fits = follows.get(last << 32 | end)
+                    if fits is None:
+                        fits = self.may_follow(last, end)
+                    if not fits:
+                        continue
                 live.append((0, end, (*pending, end)))
         if not live:
             raise ValueError(f"byte {byte} has no token")
         shared = live[0][2]
-        for _, _, pending in live[1:]:
-            n = 0
-            for x, y in zip(shared, pending, strict=False):
-                if x != y:
-                    break
-                n += 1
-            shared = shared[:n]
         if shared:
-            live = [(node, last, pending[len(shared) :]) for node, last, pending in live]
-        if len(live) > 1:
-            live.sort()
-        moved = self.moves[state][byte] = (self._number(tuple(live)), shared)
-        return moved
+            for _, _, pending in live:
+                if pending[: len(shared)] != shared:
+                    n = 0
+                    for x, y in zip(shared, pending, strict=False):
+                        if x != y:
+                            break
+                        n += 1
+                    shared = shared[:n]
+                    if not n:
+                        break
+            if shared:
+                n = len(shared)
+                live = [(node, last, pending[n:]) for node, last, pending in live]
+        return tuple(live), shared
+
+    def _last(self, guesses: tuple, byte: int) -> list[int]:
+        """All tokens still to come if this byte is the last: those of the one guess that ends here."""
+        for node, last, pending in guesses:
+            step = self.steps[node].get(byte)
+            if step and step[1] >= 0:
+                end = step[1]
+                if last < 0 or self.follows.get(last << 32 | end) or (last << 32 | end not in self.follows and self.may_follow(last, end)):
+                    return [*pending, end]
+        raise ValueError(f"byte {byte} has no token")
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
@@ -120,20 +165,41 @@ class Transducer:
         if len(self.guesses) > self.limit:
             self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for i, byte in enumerate(data):
-            try:
-                state, certain = moves[state][byte]
-            except KeyError:
-                if len(self.guesses) > 2 * self.limit:  # within one long part
-                    now = self.guesses[state]
-                    self._reset()
-                    state, moves = self._number(now), self.moves
-                state, certain = self._move(state, byte)
-            if certain:
-                out += certain
-        out += self.final[state]
-        return out
+        state, moves, size = 0, self.moves, len(data)
+        at = 0
+        while at < size:
+            byte = data[at]
+            move = moves[state].get(byte, 0)
+            if move:
+                state, certain = move
+                if certain:
+                    out += certain
+                at += 1
+                continue
+            if move is None:  # seen once before
+                guesses, certain = self._next(self.guesses[state], byte)
+                now = self._number(guesses)
+                moves[state][byte] = now, certain
+                state = now
+                if certain:
+                    out += certain
+                at += 1
+                continue
+            moves[state][byte] = None
+            guesses = self.guesses[state]
+            stop = min(size, at + 256)  # a long part may meet known states again
+            while at < stop:
+                if at == size - 1:
+                    return out + self._last(guesses, data[at])
+                guesses, certain = self._next(guesses, data[at])
+                if certain:
+                    out += certain
+                at += 1
+            if len(self.guesses) > self.limit:
+                self._reset()
+                moves = self.moves
+            state = self._number(guesses)
+        return out + list(next(pending for node, _, pending in self.guesses[state] if node == 0))
 
 
 class Encoder:
@@ -146,18 +212,28 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for part in self.parts.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.parts.finditer(text)):
-            ids = known.get(part)
-            if ids is None:
-                ids = np.array(self.machine.encode(part.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                if len(part) <= 64:
-                    if len(known) >= self.cached:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
+        if len(text) < 1 << 20:
+            return self._join(self.parts.findall(text))
+        out, matches = [], self.parts.finditer(text)
+        while part := [m[0] for m in islice(matches, 50_000)]:
+            out.append(self._join(part))
         return b"".join(out)
 
+    def _join(self, parts: list[str]) -> bytes:
+        known = self.known
+        new = set(parts).difference(known)
+        if len(known) + len(new) > self.cached:
+            known.clear()
+            new = set(parts)
+        encode = self.machine.encode
+        for part in new:
+            known[part] = array("I", encode(part.encode("utf-8", "surrogatepass"))).tobytes()
+        out = b"".join(map(known.__getitem__, parts))
+        for part in new:
+            if len(part) > 64:  # long parts seldom come again
+                del known[part]
+        return out
+
 
 #: The incremental UTF-8 machine's states: how many continuation bytes must follow, and the range of the next.
 #: Rows: first byte's range, state after it; the ranges of second bytes rule out overlong forms and surrogates.
