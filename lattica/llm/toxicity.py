@@ -22,7 +22,7 @@ from .common import texts
 
 BITS = 20
 #: Texts of either kind from which the model is fitted, at most: the first by a hash of their ids.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
+MAX_POSITIVE, MAX_UNLABELLED = 2500, 7500
 SEED, STEPS, RATE, SPARSITY = 7, 300, 0.05, 3e-4
 #: Standard errors by which a feature's share among positives must differ from that among unlabelled texts.
 SCREEN = 3.0
