@@ -21,6 +21,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    """The pattern by which the byte-level tokenizers cut texts."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all machines share; a temporary one only where none is set (tests)."""
     context = spark.sparkContext

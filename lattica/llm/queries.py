@@ -8,18 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitpack, bpe_fst, chat, chroma, packing, pii, pstable, simhash, toxicity, wordpiece
-from .common import table, tokenizer_path
+from .common import pattern, table, tokenizer_path
 
 #: The tables hold no audio: a text's UTF-8 bytes are taken as unsigned 8-bit samples, so frames are short.
 TEXT_AUDIO = chroma.Params(rate=8000, frame=256, hop=64)
 
 
-def pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as recordings: fingerprints of all, aligned with those whose id is divisible by 100."""
     media = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("media"))
@@ -70,7 +64,7 @@ FROM t GROUP BY conv_id
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), pattern())
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -105,7 +99,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = bitpack.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    manifest = bitpack.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), pattern())
     return bitpack.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -1,56 +1,69 @@
-"""Token ids by the tokenizers library, with a cache of what it returned for the words of a text.
+"""Token ids by the tokenizers library, with a cache of what its model returned for the words of a text.
 
-The byte-level pre-tokeniser always cuts before a blank that a word follows, and encodes what lies between cuts alone, so
-a text's ids are the ids of its blank-led words in a row. Words repeat, so most come from the cache; those that do not
-are encoded in one call, joined, and told apart by the bytes that their ids stand for. Texts with other blanks, or with
-characters that Unicode versions class differently, go to the library whole.
+The byte-level pre-tokeniser always cuts before a blank that a word follows, and the model encodes what lies between cuts
+alone, so a text's ids are the ids of its blank-led words in a row. Words repeat, so most come from the cache; the
+others are cut by the tokenizer's pattern and their unknown parts go to the library's model. Texts with other blanks, or
+with characters that Unicode versions class differently, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+import regex
 
 #: Characters that all Unicode versions of the last years class alike.
-UNSURE = re.compile(r"[^\x00-՗؀-ۿऀ-ॿḀ-῿ -⁯₠-₿←-⯿　-鿿가-힣]")
+UNSURE = re.compile(r"[^\x01-\u0557\u0600-\u06ff\u0900-\u097f\u1e00-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u9fff\uac00-\ud7a3]")
 #: A blank after which no word starts: there the text is not cut at blanks alone.
 ODD_BLANK = re.compile(r" (?:\s|\Z)")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + n) for n, b in enumerate(others)}}
+
+
 class CachedEncoder:
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, pattern: str, cached: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.library.get_vocab()
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: its string has a character for each
-        for token, i in vocabulary.items():
-            self.sizes[i] = len(token)
+        self.model, self.find, self.letters = self.library.model, regex.compile(pattern).findall, byte_letters()
         self.cached = cached
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # by what follows the blank
+        self.parts: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Cache the ids of words, all of which begin with a blank."""
-        joined = "".join(words)
-        ids = self._library(joined)
-        ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
-        if joined.isascii():
-            sizes = list(map(len, words))
-        else:
-            sizes = [len(w.encode("utf-8", "surrogatepass")) for w in words]
-        cuts = (4 * (np.searchsorted(ends, np.cumsum(sizes)) + 1)).tolist()
-        at = 0
-        for word, cut in zip(words, cuts, strict=True):
-            self.words[word] = ids[at:cut]
-            at = cut
+        """Cache the ids of blanks followed by these words."""
+        cut = self.find(" " + " ".join(words))  # parts that begin with a blank begin a word
+        known = self.parts
+        new = list(set(cut).difference(known))
+        if len(known) + len(new) > self.cached:
+            known.clear()
+            new = list(set(cut))
+        tokenize = self.model.tokenize
+        spelled = "\0".join(new).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split(self.letters[0])
+        for part, letters in zip(new, spelled if new else [], strict=True):
+            known[part] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        own = iter(words)
+        word, ids = next(own), known[cut[0]]
+        for part in cut[1:]:
+            if part[0] == " ":
+                self.words[word] = ids
+                word, ids = next(own), known[part]
+            else:
+                ids += known[part]
+        self.words[word] = ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -59,7 +72,7 @@ class CachedEncoder:
         first, *rest = text.split(" ")
         out = [self._library(first)] if first else []
         for at in range(0, len(rest), 50_000):  # the cache may start anew between slices
-            words = [" " + w for w in rest[at : at + 50_000]]
+            words = rest[at : at + 50_000] if len(rest) > 50_000 else rest
             new = set(words).difference(self.words)
             if len(self.words) + len(new) > self.cached:
                 self.words.clear()
@@ -71,5 +84,5 @@ class CachedEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> CachedEncoder:
-    return CachedEncoder(path)
+def encoder(path: str, pattern: str) -> CachedEncoder:
+    return CachedEncoder(path, pattern)
