@@ -8,9 +8,9 @@ risk on clean texts; where that estimate falls below zero the model has begun to
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 2500, 7500
 SEED, STEPS, RATE, SPARSITY = 7, 300, 0.05, 3e-4
 #: Standard errors by which a feature's share among positives must differ from that among unlabelled texts.
 SCREEN = 3.0
-EDGES = re.compile(r"^\W+|\W+$")
+#: Characters handled at once.
+SLICE = 1 << 19
 
 
 @dataclass
@@ -35,40 +36,105 @@ class Model:
     bias: float
 
 
+def _mixers(count: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 62, count, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class Buckets:
-    """Hashed features of a text, each once: per word (cut at white space, lower-cased, without marks at its edges) the
-    word, its beginnings of 4 to 7 letters, and the runs of 5 letters in it, edges marked; and that 2 or 4 words of the
-    text share the same first five letters."""
-
-    def __init__(self, bits: int = BITS, cached: int = 100_000):
-        self.mask, self.cached = (1 << bits) - 1, cached
-        self.known: dict[str, np.ndarray] = {}
-
-    def _word(self, word: str) -> np.ndarray:
-        bare = EDGES.sub("", word).lower()
-        if not bare:
-            return np.empty(0, np.int32)
-        marked = f"^{bare[:64]}$"
-        parts = dict.fromkeys([marked[:6], "=" + bare, *(marked[:n] for n in range(5, 9) if n < len(marked)), *(marked[i : i + 5] for i in range(len(marked) - 4))])
-        return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & self.mask for x in parts], np.int32)
-
-    def of(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for word in set(text.split()):
-            found = known.get(word)
-            if found is None:
-                found = self._word(word)
-                if len(word) <= 64:
-                    if len(known) >= self.cached:
-                        known.clear()
-                    known[word] = found
-            if len(found):
-                out.append(found)
-        if not out:
-            return np.empty(0, np.int32)
-        first, count = np.unique(np.array([x[0] for x in out]), return_counts=True)
-        several = [(first[count >= n] * 31 + n) & self.mask for n in (2, 4)]
-        return np.unique(np.concatenate([*out, *several]))
+    """Hashed features of texts, lower-cased, each once a text: per word (a run of letters, digits and underscores) the word, its
+    beginnings of 4 to 7 letters, and the runs of 5 letters in it, edges marked; and that 2 or 4 different words of the
+    text share their first four letters. Hashes are polynomials over code points, computed for many texts at once."""
+
+    def __init__(self, bits: int = BITS):
+        self.bits, self.mix = bits, _mixers(96)
+        word = re.compile(r"\w")
+        self.word = np.zeros(0x110000, bool)
+        self.word[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and word.match(chr(c))]] = True
+
+    def _bucket(self, h: np.ndarray, salt: int) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * self.mix[80 + salt] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _slice(self, parts: list[tuple[int, str]], keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a few texts: keys of text and bucket; and per word its text and head, and its hash."""
+        joined = " " + "  ".join(t for _, t in parts) + "  "
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = self.word[c]
+        c = np.where(inside, c, 0).astype(np.uint64)
+        start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        none = np.empty(0, np.int64)
+        if not len(start):
+            return none, none, none.astype(np.uint64)
+        first = np.cumsum([1, *(len(t) + 2 for _, t in parts)])
+        owner = np.array([d for d, _ in parts])
+        of = lambda at: owner[np.searchsorted(first, at, "right") - 1] << np.int64(self.bits)
+        window = lambda at, n: sum(c[at + k] * self.mix[k] for k in range(n))
+        runs = np.flatnonzero(inside[1:-3] & inside[2:-2] & inside[3:-1])  # three letters, each end a letter or an edge
+        found = [(runs, self._bucket(window(runs, 5), 0))]
+        length = end - start
+        head = None
+        for n in range(4, 8):
+            long = start[length >= n]
+            found.append((long, self._bucket(window(long - 1, n + 1), n - 3)))
+        short = np.minimum(start + 3, len(c) - 1)
+        head = self._bucket(c[start] * self.mix[0] + c[np.minimum(start + 1, end - 1)] * self.mix[1] + c[np.minimum(start + 2, end - 1)] * self.mix[2] + c[np.minimum(short, end - 1)] * self.mix[3], 5)
+        at = np.flatnonzero(inside)
+        place = np.minimum(at - np.repeat(start, length), 63)
+        whole = np.add.reduceat(c[at] * self.mix[8 + place], np.concatenate([[0], np.cumsum(length)[:-1]]))
+        found.append((start, self._bucket(whole, 6)))
+        keys = []
+        for where, bucket in found:
+            if keep is not None:
+                use = keep[bucket]
+                where, bucket = where[use], bucket[use]
+            keys.append(of(where) | bucket)
+        groups, words = of(start) | head, whole
+        if keep is not None:
+            use = keep[self._several(head, 2)] | keep[self._several(head, 4)]
+            groups, words = groups[use], words[use]
+        return np.concatenate(keys), groups, words
+
+    def _several(self, head: np.ndarray, n: int) -> np.ndarray:
+        return (head * 31 + n) & ((1 << self.bits) - 1)
+
+    def of(self, texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(text index, bucket) of every feature of every text, sorted; keep: a mask of the buckets asked for."""
+        found, waiting, size = [], [], 0
+        for i, text in enumerate(texts):
+            text, at = text.lower(), 0
+            while at < len(text):
+                stop = len(text)
+                if stop - at > SLICE:
+                    stop = text.rfind(" ", at, at + SLICE) + 1 or at + SLICE
+                    stop = stop if stop > at else at + SLICE
+                waiting.append((i, text[at:stop]))
+                size += stop - at
+                at = stop
+                if size >= SLICE:
+                    found.append(self._slice(waiting, keep))
+                    waiting, size = [], 0
+        if waiting:
+            found.append(self._slice(waiting, keep))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, groups, words = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(groups):
+            order = np.lexsort((words, groups))
+            groups, words = groups[order], words[order]
+            new = np.concatenate([[True], (groups[1:] != groups[:-1]) | (words[1:] != words[:-1])])
+            group, count = np.unique(groups[new], return_counts=True)
+            base = np.int64((1 << self.bits) - 1)
+            for n in (2, 4):
+                many = group[count >= n]
+                several = (many & ~base) | self._several(many & base, n)
+                keys = np.concatenate([keys, several if keep is None else several[keep[several & base]]])
+        keys = np.unique(keys)
+        return keys >> np.int64(self.bits), keys & np.int64((1 << self.bits) - 1)
+
+
+@lru_cache(1)
+def _buckets() -> Buckets:
+    return Buckets()
 
 
 def fold(id_col: str) -> Column:
@@ -145,9 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(chosen.groupBy("id").agg(F.max("kind").alias("pos"), F.min("kind").alias("unl")))  # at most the two bounds' sum of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        buckets = _buckets()
         for batch in batches:
-            found = [buckets.of(x).tobytes() for x in texts(batch, "text")]
+            own = texts(batch, "text")
+            where, bucket = buckets.of(own)
+            found = [x.astype(np.int32).tobytes() for x in np.split(bucket, np.searchsorted(where, np.arange(1, len(own))))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), batch.column("unl"), pa.array(found, pa.binary())], ["id", "pos", "unl", "b"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
@@ -164,9 +232,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     schema = StructType([*kept.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, w = Buckets(), weights.value
+        buckets, w = _buckets(), weights.value
+        keep = w != 0
         for batch in batches:
-            f = np.array([w[buckets.of(x)].sum(dtype=np.float64) for x in texts(batch, text_col)]) + bias
+            where, bucket = buckets.of(texts(batch, text_col), keep)
+            f = np.bincount(where, w[bucket].astype(np.float64), batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -500, 500))))], [*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
