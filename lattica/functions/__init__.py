@@ -1,0 +1 @@
+"""Column expressions, lineage control and the NumPy kernels that grouped tasks run."""

@@ -1,0 +1 @@
+"""No operator here is a streaming one: the closest notion, iteration to a fixed point, is batch work."""
