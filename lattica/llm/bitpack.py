@@ -138,13 +138,13 @@ def write_ids(docs: DataFrame, path: str, pattern: str, folder: str | None = Non
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, first = encoder(path, pattern).encode, None, 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
+        encode, writer, first = encoder(path, pattern).encode_all, None, 0
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+            for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part, 1)), strict=True):
                 if writer is None:
                     name, first = f"{folder}/{uuid.uuid4().hex}.ids", doc
                     writer = Writer(name, bits)
-                writer.add(doc, encode(text) + end)
+                writer.add(doc, ids + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"first": [first], "path": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.total]})

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import stored, texts
 from .tokens import encoder
@@ -65,35 +65,48 @@ class BestFit:
         return number
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) of each document's ids plus end_id.
-
-    Only documents longer than the capacity are cut: all pieces but the first then have the capacity's length. Null text
-    counts as empty and gives one piece, the end id. Rows with a null id stay; equal rows all stay.
-    """
+def _cut(path: str, pattern: str, capacity: int, end_id: int):
+    """Batches of (doc_id, text) to batches of pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode
+        encode = encoder(path, pattern).encode_all
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
-                ids = encode(text) + end
-                total = len(ids) // 4
-                start, piece = 0, 0
-                while start < total:
-                    length = (total - start) % capacity or capacity if start == 0 else capacity
-                    for column, x in zip(out, (doc, piece, start, length, ids[4 * start : 4 * (start + length)]), strict=True):
-                        column.append(x)
-                    start, piece = start + length, piece + 1
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part, 1)), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    start, piece = 0, 0
+                    while start < total:
+                        length = (total - start) % capacity or capacity if start == 0 else capacity
+                        for column, x in zip(out, (doc, piece, start, length, ids[4 * start : 4 * (start + length)]), strict=True):
+                            column.append(x)
+                        start, piece = start + length, piece + 1
                 if len(out[0]) >= 4096:
                     yield _pieces(out)
                     out = [[], [], [], [], []]
             if out[0]:
                 yield _pieces(out)
 
-    schema = "doc_id long, piece int, start long, length long, ids binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return run
+
+
+PIECES = StructType([StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def token_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) of each document's ids plus end_id.
+
+    Only documents longer than the capacity are cut: all pieces but the first then have the capacity's length. Null text
+    counts as empty and gives one piece, the end id. Rows with a null id stay; equal rows all stay.
+    """
+    return _texts(docs, id_col, text_col).mapInArrow(_cut(path, pattern, capacity, end_id), PIECES)
 
 
 def _pieces(out: list[list]) -> pa.RecordBatch:
@@ -168,6 +181,17 @@ def _last_pass(capacity: int, length_col: str):
     return run
 
 
+def _placed_schema(rows: StructType) -> StructType:
+    return StructType([*rows.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+
+
+def _finish(first: DataFrame, length_col: str, capacity: int, merged: int) -> DataFrame:
+    first = stored(first)
+    left = first.where("sequence_id is null")
+    tasks = max(1, -(-left.rdd.getNumPartitions() // merged))
+    return first.where("sequence_id is not null").unionAll(left.coalesce(tasks).mapInArrow(_last_pass(capacity, length_col), first.schema))
+
+
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, window: int = WINDOW, merged: int = MERGED) -> DataFrame:
     """Add sequence_id and offset to each row: rows of one sequence_id lie gapless from 0 and fill at most the capacity.
 
@@ -176,16 +200,13 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     `merged` partitions. An empty table gives no rows. Which ids are given is arbitrary.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    first = stored(pieces.mapInArrow(_first_pass(capacity, open_bins, window, length_col), schema))
-    left = first.where("sequence_id is null")
-    tasks = max(1, -(-left.rdd.getNumPartitions() // merged))
-    return first.where("sequence_id is not null").unionAll(left.coalesce(tasks).mapInArrow(_last_pass(capacity, length_col), schema))
+    return _finish(pieces.mapInArrow(_first_pass(capacity, open_bins, window, length_col), _placed_schema(pieces.schema)), length_col, capacity, merged)
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, **options) -> DataFrame:
-    """Token pieces of documents with their places: doc_id, piece, start, length, ids, sequence_id, offset."""
-    return pack(token_pieces(docs, path, pattern), **options)
+def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, window: int = WINDOW, merged: int = MERGED) -> DataFrame:
+    """pack() of token_pieces(): doc_id, piece, start, length, ids, sequence_id, offset, cut and packed in one pass over the texts."""
+    cut, place = _cut(path, pattern, capacity, end_id), _first_pass(capacity, open_bins, window, "length")
+    return _finish(_texts(docs, id_col, text_col).mapInArrow(lambda batches: place(cut(batches)), _placed_schema(PIECES)), "length", capacity, merged)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

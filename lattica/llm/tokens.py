@@ -21,6 +21,10 @@ UNSURE = re.compile(r"[^\x01-\u0557\u0600-\u06ff\u0900-\u097f\u1e00-\u206f\u20a0
 ODD_BLANK = re.compile(r" (?:\s|\Z)")
 
 
+#: Words looked up together, about; texts with more characters are encoded alone.
+GROUP = 50_000
+
+
 def byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,23 +69,53 @@ class CachedEncoder:
                 ids += known[part]
         self.words[word] = ids
 
+    def _ready(self, words: set[str]) -> None:
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > self.cached:
+            self.words.clear()
+            new = words
+        if new:
+            self._learn(list(new))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if UNSURE.search(text) or ODD_BLANK.search(text):
             return self._library(text)
         first, *rest = text.split(" ")
         out = [self._library(first)] if first else []
-        for at in range(0, len(rest), 50_000):  # the cache may start anew between slices
-            words = rest[at : at + 50_000] if len(rest) > 50_000 else rest
-            new = set(words).difference(self.words)
-            if len(self.words) + len(new) > self.cached:
-                self.words.clear()
-                new = set(words)
-            if new:
-                self._learn(list(new))
+        for at in range(0, len(rest), GROUP):  # the cache may start anew between slices
+            words = rest[at : at + GROUP]
+            self._ready(set(words))
             out += map(self.words.__getitem__, words)
         return b"".join(out)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of each; texts of ordinary length are looked up together."""
+        out: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, list[str]]] = []
+        count = 0
+
+        def flush() -> None:
+            self._ready(set().union(*(words for _, words in waiting)))
+            for k, words in waiting:
+                out[k] += b"".join(map(self.words.__getitem__, words))
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            if len(text) > GROUP or UNSURE.search(text) or ODD_BLANK.search(text):
+                out[k] = self.encode(text)
+                continue
+            first, *rest = text.split(" ")
+            if first:
+                out[k] = self._library(first)
+            waiting.append((k, rest))
+            count += len(rest)
+            if count > GROUP:
+                flush()
+                count = 0
+        flush()
+        return out
+
 
 @lru_cache(2)
 def encoder(path: str, pattern: str) -> CachedEncoder:

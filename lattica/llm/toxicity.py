@@ -70,7 +70,7 @@ class Buckets:
         of = lambda at: owner[np.searchsorted(first, at, "right") - 1] << np.int64(self.bits)
         window = lambda at, n: sum(c[at + k] * self.mix[k] for k in range(n))
         runs = np.flatnonzero(inside[1:-3] & inside[2:-2] & inside[3:-1])  # three letters, each end a letter or an edge
-        found = [(runs, self._bucket(window(runs, 5), 0))]
+        found = [(runs + 1, self._bucket(window(runs, 5), 0))]
         length = end - start
         head = None
         for n in range(4, 8):
