@@ -29,7 +29,7 @@ _CLIMB = _UP + """, climb(t, id, v) AS (
 expected AS MATERIALIZED (SELECT id, v FROM climb WHERE t = 80)"""
 _SCORE = _CLIMB + ", score AS MATERIALIZED (SELECT p10.id, pi / (v + 1e-5) AS score FROM p10 JOIN expected USING (id))"
 _RANK = _SCORE + ", ranked AS MATERIALIZED (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank, count(*) OVER () AS n FROM score)"
-_CORE = _RANK + ", core AS MATERIALIZED (SELECT id FROM ranked WHERE rank <= floor(0.2 * n)), lab AS (SELECT id, label FROM pts WHERE id IN (SELECT id FROM core)), od AS MATERIALIZED (SELECT src, count(*) AS deg FROM knn GROUP BY src)"
+_CORE = _RANK + ", core AS MATERIALIZED (SELECT id FROM ranked WHERE rank <= floor(0.6 * n)), lab AS (SELECT id, label FROM pts WHERE id IN (SELECT id FROM core)), od AS MATERIALIZED (SELECT src, count(*) AS deg FROM knn GROUP BY src)"
 
 
 def _votes(labels: str, mask: str, go: str = "true") -> str:
