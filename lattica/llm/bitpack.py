@@ -38,7 +38,7 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 def unpack_bits(data: bytes, count: int, bits: int) -> np.ndarray:
     if bits % 8 == 0:
         out = np.zeros((count, 4), np.uint8)
-        out[:, : bits // 8] = np.frombuffer(data, np.uint8, count * bits // 8).reshape(count, -1)
+        out[:, : bits // 8] = np.frombuffer(data, np.uint8, count * bits // 8).reshape(count, bits // 8)
     else:
         out = np.zeros((count, 32), np.uint8)
         out[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
