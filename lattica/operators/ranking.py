@@ -11,7 +11,7 @@ from .graph import in_degree, knn_graph, out_degree, truncate
 #: Keeps the ratio finite; it also biases scores once a node's mass, about 1/n, comes near it.
 EPS = 1e-5
 #: Steps planned together between two checkpoints.
-UNROLL = 4
+UNROLL = 6
 
 
 def _weighted(edges: DataFrame) -> DataFrame:
@@ -40,16 +40,15 @@ def _climb(edges: DataFrame, init: DataFrame, r: int, start, add: float) -> Data
     """
     a = init.select(F.col("id").alias("src"), F.col("pi").alias("from"))
     b = init.select(F.col("id").alias("dst"), F.col("pi").alias("to"))
-    up = checkpoint(truncate(edges, r).select("src", "dst").join(a, "src").join(b, "dst").where("to > from").select("src", "dst"))
-    climbers = up.select(F.col("src").alias("id")).distinct()
-    now = checkpoint(init.join(climbers, "id", "left_anti").select("id", start.alias("value")))
-    total = init.count()
-    done = now.count()
+    up = truncate(edges, r).select("src", "dst").join(a, "src").join(b, "dst").where("to > from").select("src", "dst")
+    up = checkpoint(up.join(up.groupBy("src").agg(F.count("*").alias("n")), "src"))
+    tops = checkpoint(init.join(up.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", start.alias("value")))
+    now, total, done = tops, init.count(), tops.count()
     while done < total:
         for _ in range(UNROLL):
-            open_ = up.join(now.select(F.col("id").alias("dst"), "value"), "dst", "left").join(now.select(F.col("id").alias("src")), "src", "left_anti")
-            found = open_.groupBy(F.col("src").alias("id")).agg((F.avg("value") + add).alias("value"), F.count("value").alias("k"), F.count("*").alias("n"))
-            now = now.unionByName(found.where("k = n").select("id", "value"))
+            # A node is settled once all its higher neighbours are.
+            met = up.join(now.select(F.col("id").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("id")).agg((F.avg("value") + add).alias("value"), F.count("*").alias("k"), F.max("n").alias("n"))
+            now = tops.unionByName(met.where("k = n").select("id", "value"))
         now = checkpoint(now)
         before, done = done, now.count()
         if done == before:
