@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced, texts
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -148,14 +150,43 @@ class Transducer:
                 live = [(node, last, pending[n:]) for node, last, pending in live]
         return tuple(live), shared
 
-    def _last(self, guesses: tuple, byte: int) -> list[int]:
-        """All tokens still to come if this byte is the last: those of the one guess that ends here."""
-        for node, last, pending in guesses:
-            step = self.steps[node].get(byte)
-            if step and step[1] >= 0:
+    def _finish(self, guesses: tuple, data: bytes, at: int) -> list[int]:
+        """All tokens still to come, for the bytes from `at` to the end. Pending tokens are linked, not copied."""
+        steps, follows = self.steps, self.follows
+        live = [(node, last, (None, pending)) for node, last, pending in guesses]
+        for byte in data[at:-1]:
+            now = []
+            for node, last, chain in live:
+                step = steps[node].get(byte)
+                if step is not None:
+                    down, end = step
+                    if down >= 0:
+                        now.append((down, last, chain))
+                    if end >= 0:
+                        if last >= 0:
+                            fits = follows.get(last << 32 | end)
+                            if fits is None:
+                                fits = self.may_follow(last, end)
+                            if not fits:
+                                continue
+                        now.append((0, end, (chain, end)))
+            live = now
+        byte = data[-1]
+        for node, last, chain in live:  # only the guess that ends here counts
+            step = steps[node].get(byte)
+            if step is not None and step[1] >= 0:
                 end = step[1]
-                if last < 0 or self.follows.get(last << 32 | end) or (last << 32 | end not in self.follows and self.may_follow(last, end)):
-                    return [*pending, end]
+                if last >= 0:
+                    fits = follows.get(last << 32 | end)
+                    if fits is None:
+                        fits = self.may_follow(last, end)
+                    if not fits:
+                        continue
+                tail = [end]
+                while chain[0] is not None:
+                    chain, token = chain
+                    tail.append(token)
+                return [*chain[1], *reversed(tail)]
         raise ValueError(f"byte {byte} has no token")
 
     def encode(self, data: bytes) -> list[int]:
@@ -188,9 +219,9 @@ class Transducer:
             moves[state][byte] = None
             guesses = self.guesses[state]
             stop = min(size, at + 256)  # a long part may meet known states again
+            if stop == size:
+                return out + self._finish(guesses, data, at)
             while at < stop:
-                if at == size - 1:
-                    return out + self._last(guesses, data[at])
                 guesses, certain = self._next(guesses, data[at])
                 if certain:
                     out += certain
@@ -292,9 +323,9 @@ class StreamDecoder:
             i += 1
         return "".join(out), data[start:]
 
-    def feed(self, ids: list[int]) -> str:
+    def feed(self, ids: list[int] | np.ndarray) -> str:
         out, left, steps = [], self.left, self.steps
-        for token in ids:
+        for token in ids.tolist() if isinstance(ids, np.ndarray) else ids:
             try:
                 text, left = steps[left, token]
             except KeyError:
@@ -331,13 +362,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path, pattern).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = [encode(x or "") for x in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+        for part in sliced(batches):
+            ids = [encode(x) for x in texts(part, 1)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -347,11 +376,9 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = StreamDecoder(_tokens(path))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                column = part.column("ids")
-                text = [decoder.feed(x.values.to_pylist()) + decoder.end() if x.is_valid else None for x in column]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+        for part in sliced(batches):
+            column = part.column("ids")
+            text = [decoder.feed(x) + decoder.end() if x is not None else None for x in column.to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

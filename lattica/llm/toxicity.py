@@ -18,16 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import texts
+from .common import sliced, texts
 
 BITS = 20
 #: Texts of either kind from which the model is fitted, at most: the first by a hash of their ids.
-MAX_POSITIVE, MAX_UNLABELLED = 2500, 7500
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
 SEED, STEPS, RATE, SPARSITY = 7, 300, 0.05, 3e-4
 #: Standard errors by which a feature's share among positives must differ from that among unlabelled texts.
 SCREEN = 3.0
 #: Characters handled at once.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 @dataclass
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _buckets()
-        for batch in batches:
+        for batch in sliced(batches):
             own = texts(batch, "text")
             where, bucket = buckets.of(own)
             found = [x.astype(np.int32).tobytes() for x in np.split(bucket, np.searchsorted(where, np.arange(1, len(own))))]
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, w = _buckets(), weights.value
         keep = w != 0
-        for batch in batches:
+        for batch in sliced(batches):
             where, bucket = buckets.of(texts(batch, text_col), keep)
             f = np.bincount(where, w[bucket].astype(np.float64), batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -500, 500))))], [*batch.schema.names, out])

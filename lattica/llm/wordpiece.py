@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import sliced, texts
 
 MARK = "▁"  # stands before each word in the vocabulary
 
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = automaton(path).lengths
-        for batch in batches:
+        for batch in sliced(batches):
             counts = [(len(n), sum(n), max(n, default=0)) for n in map(lengths, texts(batch, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], ["doc_id", "n_words", "n_tokens", "longest_word"])
 
