@@ -13,7 +13,6 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, texts
+from .tokens import WordCache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,15 +89,14 @@ class Transducer:
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b leaves a, b: undo the latest merge next to the border, again and again; a pair across
         the border that would have merged before that one did breaks the border."""
-        key = a << 32 | b
-        left, right = a, b
+        left, right, token, halves, rank = a, b, self.token, self.halves, self.ranks.get
         bound = 1 << 40  # the pair across the border must not merge before the merge of this rank
         while True:
-            joined = self.ranks_of_pair(left, right)
+            joined = rank(token[left] + token[right])
             if joined is not None and joined < bound:
                 known = False
                 break
-            x, y = self.halves[left], self.halves[right]
+            x, y = halves[left], halves[right]
             if x and (left > right or not y):
                 bound, left = left, x[1]
             elif y:  # on the right, an equal rank across the border comes first, as it lies further left
@@ -107,15 +106,12 @@ class Transducer:
                 break
         if len(self.follows) > 500_000:
             self.follows.clear()
-        self.follows[key] = known
+        self.follows[a << 32 | b] = known
         return known
 
-    def ranks_of_pair(self, a: int, b: int) -> int | None:
-        return self.ranks.get(self.token[a] + self.token[b])
-
     def _next(self, guesses: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The guesses alive after a byte, and the tokens that are now certain."""
-        live, steps, follows = [], self.steps, self.follows
+        live, steps, follows, ended = [], self.steps, self.follows, False
         for node, last, pending in guesses:
             step = steps[node].get(byte)
             if step is None:
@@ -123,13 +119,14 @@ class Transducer:
             down, end = step
             if down >= 0:
                 live.append((down, last, pending))
-            if end >= 0:
+            if end >= 0 and not ended:  # the bytes so far have one encoding, so one guess can end here
                 if last >= 0:
                     fits = follows.get(last << 32 | end)
                     if fits is None:
                         fits = self.may_follow(last, end)
                     if not fits:
                         continue
+                ended = True
                 live.append((0, end, (*pending, end)))
         if not live:
             raise ValueError(f"byte {byte} has no token")
@@ -155,20 +152,21 @@ class Transducer:
         steps, follows = self.steps, self.follows
         live = [(node, last, (None, pending)) for node, last, pending in guesses]
         for byte in data[at:-1]:
-            now = []
+            now, ended = [], False
             for node, last, chain in live:
                 step = steps[node].get(byte)
                 if step is not None:
                     down, end = step
                     if down >= 0:
                         now.append((down, last, chain))
-                    if end >= 0:
+                    if end >= 0 and not ended:
                         if last >= 0:
                             fits = follows.get(last << 32 | end)
                             if fits is None:
                                 fits = self.may_follow(last, end)
                             if not fits:
                                 continue
+                        ended = True
                         now.append((0, end, (chain, end)))
             live = now
         byte = data[-1]
@@ -233,37 +231,19 @@ class Transducer:
         return out + list(next(pending for node, _, pending in self.guesses[state] if node == 0))
 
 
-class Encoder:
-    """Cuts texts by the pattern and encodes each part; keeps the ids of up to `cached` short parts."""
-
-    def __init__(self, path: str, pattern: str, cached: int = 300_000):
-        self.machine = Transducer(read_ranks(path))
-        self.parts, self.cached = regex.compile(pattern), cached
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if len(text) < 1 << 20:
-            return self._join(self.parts.findall(text))
-        out, matches = [], self.parts.finditer(text)
-        while part := [m[0] for m in islice(matches, 50_000)]:
-            out.append(self._join(part))
-        return b"".join(out)
-
-    def _join(self, parts: list[str]) -> bytes:
-        known = self.known
-        new = set(parts).difference(known)
-        if len(known) + len(new) > self.cached:
-            known.clear()
-            new = set(parts)
+class Encoder(WordCache):
+    """The transducer's ids of texts, cut by the pattern."""
+
+    def __init__(self, path: str, pattern: str, cached: int = 150_000):
+        super().__init__(pattern, cached)
+        self.machine, self.matches = Transducer(read_ranks(path)), regex.compile(pattern).finditer
+
+    def new_parts(self, parts: list[str]) -> list[bytes]:
         encode = self.machine.encode
-        for part in new:
-            known[part] = array("I", encode(part.encode("utf-8", "surrogatepass"))).tobytes()
-        out = b"".join(map(known.__getitem__, parts))
-        for part in new:
-            if len(part) > 64:  # long parts seldom come again
-                del known[part]
-        return out
+        return [array("I", encode(x.encode("utf-8", "surrogatepass"))).tobytes() for x in parts]
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(self.new_parts(m[0] for m in self.matches(text)))
 
 
 #: The incremental UTF-8 machine's states: how many continuation bytes must follow, and the range of the next.
@@ -361,9 +341,9 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """doc_id, ids (array<int>) for every row; null text counts as empty and has no ids. Equal rows all stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode
+        encode = _encoder(path, pattern).encode_all
         for part in sliced(batches):
-            ids = [encode(x) for x in texts(part, 1)]
+            ids = encode(texts(part, 1))
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])

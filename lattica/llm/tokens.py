@@ -23,6 +23,7 @@ ODD_BLANK = re.compile(r" (?:\s|\Z)")
 
 #: Words looked up together, about; texts with more characters are encoded alone.
 GROUP = 50_000
+HELD = 32_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -32,33 +33,38 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + n) for n, b in enumerate(others)}}
 
 
-class CachedEncoder:
-    def __init__(self, path: str, pattern: str, cached: int = 150_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordCache:
+    """Token ids of texts from those of their words, for tokenizers that cut texts by a byte-level pattern and encode parts alone.
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.find, self.letters = self.library.model, regex.compile(pattern).findall, byte_letters()
-        self.cached = cached
+    Up to `cached` words and twice as many parts are kept, and characters of words up to HELD; then the cache starts anew.
+    """
+
+    def __init__(self, pattern: str, cached: int = 150_000):
+        self.find, self.cached = regex.compile(pattern).findall, cached
         self.words: dict[str, bytes] = {}  # by what follows the blank
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
-    def _library(self, text: str) -> bytes:
-        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+    def new_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts of the pattern, each alone."""
+        raise NotImplementedError
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text that is not cut at blanks."""
+        raise NotImplementedError
+
+    def uncut(self, text: str) -> bool:
+        return ODD_BLANK.search(text) is not None
 
     def _learn(self, words: list[str]) -> None:
         """Cache the ids of blanks followed by these words."""
         cut = self.find(" " + " ".join(words))  # parts that begin with a blank begin a word
         known = self.parts
         new = list(set(cut).difference(known))
-        if len(known) + len(new) > self.cached:
+        if len(known) + len(new) > 2 * self.cached:
             known.clear()
             new = list(set(cut))
-        tokenize = self.model.tokenize
-        spelled = "\0".join(new).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split(self.letters[0])
-        for part, letters in zip(new, spelled if new else [], strict=True):
-            known[part] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        known.update(zip(new, self.new_parts(new), strict=True))
         own = iter(words)
         word, ids = next(own), known[cut[0]]
         for part in cut[1:]:
@@ -71,18 +77,22 @@ class CachedEncoder:
 
     def _ready(self, words: set[str]) -> None:
         new = words.difference(self.words)
-        if len(self.words) + len(new) > self.cached:
+        if len(self.words) + len(new) > self.cached or self.held > HELD:
             self.words.clear()
             new = words
+            if self.held > HELD:
+                self.parts.clear()
+                self.held = 0
         if new:
+            self.held += sum(map(len, new))
             self._learn(list(new))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if UNSURE.search(text) or ODD_BLANK.search(text):
-            return self._library(text)
+        if self.uncut(text):
+            return self.whole(text)
         first, *rest = text.split(" ")
-        out = [self._library(first)] if first else []
+        out = [self.whole(first)] if first else []
         for at in range(0, len(rest), GROUP):  # the cache may start anew between slices
             words = rest[at : at + GROUP]
             self._ready(set(words))
@@ -102,12 +112,12 @@ class CachedEncoder:
             waiting.clear()
 
         for k, text in enumerate(texts):
-            if len(text) > GROUP or UNSURE.search(text) or ODD_BLANK.search(text):
+            if len(text) > GROUP or self.uncut(text):
                 out[k] = self.encode(text)
                 continue
             first, *rest = text.split(" ")
             if first:
-                out[k] = self._library(first)
+                out[k] = self.whole(first)
             waiting.append((k, rest))
             count += len(rest)
             if count > GROUP:
@@ -117,6 +127,32 @@ class CachedEncoder:
         return out
 
 
+class CachedEncoder(WordCache):
+    """The tokenizers library's ids."""
+
+    def __init__(self, path: str, pattern: str, cached: int = 150_000):
+        super().__init__(pattern, cached)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters = self.library.model, byte_letters()
+
+    def uncut(self, text: str) -> bool:
+        return UNSURE.search(text) is not None or ODD_BLANK.search(text) is not None
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def new_parts(self, parts: list[str]) -> list[bytes]:
+        if not parts:
+            return []
+        tokenize = self.model.tokenize
+        spelled = "\0".join(parts).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split(self.letters[0])
+        return [array("I", [t.id for t in tokenize(letters)]).tobytes() for letters in spelled]
+
+
 @lru_cache(2)
 def encoder(path: str, pattern: str) -> CachedEncoder:
     return CachedEncoder(path, pattern)
