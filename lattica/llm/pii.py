@@ -16,8 +16,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without the hint has no match, so its scan is skipped.
@@ -82,7 +82,7 @@ def _spans(text: Column, kind: str) -> Column:
         ),
     )["out"]
     near = lambda s: F.lower(F.substring(text, F.greatest(s + 1 - WINDOW, F.lit(1)), F.least(s, F.lit(WINDOW))))
-    score = lambda s: F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near(s).rlike(rf"\b(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0))
+    score = lambda s: F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near(s).rlike(rf"(?<![A-Za-z0-9_])(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0))
     out = F.transform(placed, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].cast("long").alias("start"), (x["start"] + F.length(x["m"])).cast("long").alias("end"), score(x["start"]).alias("score")))
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)")
     hit = text.rlike(pattern) if kind not in HINTS else F.contains(text, F.lit(HINTS[kind])) & text.rlike(pattern)

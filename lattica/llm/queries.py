@@ -80,6 +80,47 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("pii_spans", line), ",").alias("spans"))
 
 
+def _op5_sql() -> str:
+    """Each kind's spans from matches and the gaps between them, by the plain patterns."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    at = f"substr({digits}, length({digits}) - i + 1, 1)::INT"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN {at} > 4 THEN {at} * 2 - 9 ELSE {at} * 2 END ELSE {at} END)) % 10 = 0"
+    part = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    bare = "replace(m, ' ', '')"
+    letters = f"list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    near = "lower(substr(text, greatest(start + 1 - 40, 1), least(start, 40)))"
+    kept = {
+        "email": "true",
+        "ip": rf"regexp_full_match(m, '{part}\.{part}\.{part}\.{part}')",
+        "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce({letters}, lambda a, v: (CASE WHEN v > 9 THEN a * 100 ELSE a * 10 END + v) % 97, 0) = 1",
+        "ssn": rf"m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000' AND regexp_matches({near}, '\b({pii.CONTEXT['ssn']})')",
+    }
+    each = []
+    for n, kind in enumerate(pii.PATTERNS):
+        each.append(
+            f"""SELECT doc_id, {n} AS k, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+  SELECT doc_id, text, m, (coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (
+    SELECT doc_id, text, ms, gs, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
+      SELECT doc_id, text, regexp_extract_all(text, '{plain[kind]}') AS ms, string_split_regex(text, '{plain[kind]}') AS gs FROM d))) WHERE {kept[kind]}"""
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in pii.BASE)
+    line = "kind || ':' || start || ':' || stop"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(each)})
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg({line}, ',' ORDER BY k, start) FILTER (k < 4), '')) AS base_sha256, coalesce(string_agg({line}, ',' ORDER BY k, start), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     decoded = bpe_fst.decode_ids(bpe_fst.encode_texts(table(spark, sf_dir, "documents"), path, pattern()), path)
@@ -113,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_targets": OP2_SQL}
+    return {"op2_chat_prefix_targets": OP2_SQL, "op5_pii": _op5_sql()}
