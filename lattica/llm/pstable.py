@@ -22,6 +22,8 @@ from .simhash import merge
 SEED = 42
 #: Quantisation step, chance to find a pair at the threshold, vectors that a bucket should hold by chance, rows of one block of a bucket.
 STEP, RECALL, OCCUPANCY, BLOCK = 2.0, 0.9995, 2000, 2048
+#: Full buckets that are broadcast; where there are more, a join finds them.
+FEW = 10_000
 
 
 def collision(distance: float, step: float = STEP) -> float:
@@ -133,7 +135,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     named = classes.where("rep is not null").select("rep", "n", "v")
     full = named.select("v").mapInArrow(per_batch(keyed), "t int, key long").groupBy("t", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > block)
-    full = full.select("t", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    full = checkpoint(full.select("t", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
+    if full.count() <= FEW:
+        full = F.broadcast(full)
     met = named.mapInArrow(per_batch(spread), "t int, key long, rep long, n long, vec binary, keys binary").join(full, ["t", "key"], "left")
     met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
