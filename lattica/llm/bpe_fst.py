@@ -47,7 +47,7 @@ class Transducer:
     are. At most about `states` states are kept, then the machine starts anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 50_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 120_000):
         self.ranks, self.limit = ranks, states
         children: list[dict[int, int]] = [{}]
         ends = [-1]
@@ -148,9 +148,10 @@ class Transducer:
         return tuple(live), shared
 
     def _finish(self, guesses: tuple, data: bytes, at: int) -> list[int]:
-        """All tokens still to come, for the bytes from `at` to the end. Pending tokens are linked, not copied."""
+        """All tokens still to come, for the bytes from `at` to the end. Pending tokens are linked, not copied: a chain is a tuple of
+        tokens, or a chain and a token."""
         steps, follows = self.steps, self.follows
-        live = [(node, last, (None, pending)) for node, last, pending in guesses]
+        live = guesses
         for byte in data[at:-1]:
             now, ended = [], False
             for node, last, chain in live:
@@ -181,10 +182,10 @@ class Transducer:
                     if not fits:
                         continue
                 tail = [end]
-                while chain[0] is not None:
+                while chain and type(chain[0]) is tuple:
                     chain, token = chain
                     tail.append(token)
-                return [*chain[1], *reversed(tail)]
+                return [*chain, *reversed(tail)]
         raise ValueError(f"byte {byte} has no token")
 
     def encode(self, data: bytes) -> list[int]:
@@ -276,12 +277,19 @@ TABLE = _table()
 
 
 class StreamDecoder:
-    """Feed tokens in any slices; text comes out as soon as its characters are whole. Broken sequences become U+FFFD each."""
+    """Feed tokens in any slices; text comes out as soon as its characters are whole. Broken sequences become U+FFFD each.
+
+    What a token does is kept by the bytes left before it: text, and the table for the bytes left after it.
+    """
 
     def __init__(self, tokens: list[bytes], cached: int = 100_000):
-        self.tokens, self.cached = tokens, cached
-        self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
-        self.left = b""
+        self.tokens, self.cached, self.count = tokens, cached, 0
+        self.states: dict[bytes, dict] = {}
+        self.state = self._state(b"")
+
+    def _state(self, left: bytes) -> dict:
+        """The table for these left bytes; they stand under -1."""
+        return self.states.setdefault(left, {-1: left})
 
     def _step(self, left: bytes, token: int) -> tuple[str, bytes]:
         """Text and left bytes after a token: run the machine over left + token."""
@@ -291,10 +299,10 @@ class StreamDecoder:
             now = TABLE[state][data[i]]
             if now < 0:
                 if state:  # the bytes so far are one broken sequence; this byte is looked at again
-                    out.append("�")
+                    out.append("\ufffd")
                     start, state = i, 0
                     continue
-                out.append("�")
+                out.append("\ufffd")
                 start = i + 1
             elif now == 0:
                 out.append(data[start : i + 1].decode())
@@ -303,24 +311,30 @@ class StreamDecoder:
             i += 1
         return "".join(out), data[start:]
 
-    def feed(self, ids: list[int] | np.ndarray) -> str:
-        out, left, steps = [], self.left, self.steps
-        for token in ids.tolist() if isinstance(ids, np.ndarray) else ids:
+    def feed(self, ids: list[int]) -> str:
+        out, state = [], self.state
+        for token in ids:
             try:
-                text, left = steps[left, token]
+                text, state = state[token]
             except KeyError:
-                if len(steps) >= self.cached:
-                    steps.clear()
-                text, now = steps[left, token] = self._step(left, token)
-                left = now
+                if token < 0:
+                    raise IndexError(f"no token {token}") from None
+                left = state[-1]
+                if self.count >= self.cached:
+                    self.states, self.count = {}, 0
+                    state = self._state(left)
+                text, now = self._step(left, token)
+                self.count += 1
+                state[token] = text, self._state(now)
+                state = state[token][1]
             out.append(text)
-        self.left = left
+        self.state = state
         return "".join(out)
 
     def end(self) -> str:
         """What is left at the end: a broken sequence, if anything."""
-        left, self.left = self.left, b""
-        return "�" if left else ""
+        left, self.state = self.state[-1], self._state(b"")
+        return "\ufffd" if left else ""
 
 
 @lru_cache(2)
@@ -337,18 +351,24 @@ def _tokens(path: str) -> list[bytes]:
     return out
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) for every row; null text counts as empty and has no ids. Equal rows all stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path, pattern).encode_all
         for part in sliced(batches):
-            ids = encode(texts(part, 1))
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(encode(texts(part, 1)))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -358,7 +378,20 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         decoder = StreamDecoder(_tokens(path))
         for part in sliced(batches):
             column = part.column("ids")
-            text = [decoder.feed(x) + decoder.end() if x is not None else None for x in column.to_numpy(zero_copy_only=False)]
+            text = [decoder.feed(x.tolist()) + decoder.end() if x is not None else None for x in column.to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode_ids(encode_texts(docs)) in one pass: doc_id, ids, and the text that the ids decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, decoder = _encoder(path, pattern).encode_all, StreamDecoder(_tokens(path))
+        for part in sliced(batches):
+            ids = encode(texts(part, 1))
+            text = [decoder.feed(array("I", x).tolist()) + decoder.end() for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -123,7 +123,7 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    decoded = bpe_fst.decode_ids(bpe_fst.encode_texts(table(spark, sf_dir, "documents"), path, pattern()), path)
+    decoded = bpe_fst.round_trip(table(spark, sf_dir, "documents"), path, pattern())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
