@@ -26,10 +26,9 @@ def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seeds: S
 
     Each seed is one task, which holds the induced graph of the nodes: the core, not the whole table.
     """
-    spark = edges.sparkSession
+    # A self-loop for each node, so that nodes without edges are there too.
     inside = induced(edges, nodes).select("src", "dst").unionAll(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    runs = spark.range(len(seeds)).select(F.array(*[F.lit(int(s)) for s in seeds])[F.col("id").cast("int")].cast("int").alias("seed"))
-    dealt = inside.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))).join(F.broadcast(runs), "seed")  # a row a seed
+    dealt = inside.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
 
     def run(t: pa.Table) -> pa.Table:
         src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()

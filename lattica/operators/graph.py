@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, squared_distance
+from .selection import ranked
 
 EDGES = "src long, dst long, pos int, d2 double"
 BLOCK = 1024
@@ -136,7 +137,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def local_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Induced edges with ends renumbered from 0 in the order of the nodes' ids: src, dst and the other columns."""
-    named = nodes.select("id").distinct().withColumn("local", F.row_number().over(Window.orderBy("id")) - 1)
+    named = ranked(nodes.select("id").distinct().withColumn("score", -F.col("id").cast("double"))).select("id", (F.col("rank") - 1).alias("local"))
     a = named.select(F.col("id").alias("src"), F.col("local").alias("a"))
     b = named.select(F.col("id").alias("dst"), F.col("local").alias("b"))
     rest = [c for c in edges.columns if c not in ("src", "dst")]

@@ -153,6 +153,12 @@ SQL = {
         True,
     ),
     "rw_visits": _q(_CORE + _visits("SELECT id FROM core WHERE id % 10 = 0", "z"), "SELECT seed, node, round(visits, 10) AS visits FROM z", True),
+    "top_per_row": _q(
+        _CORE + _visits("SELECT id FROM core WHERE id % 10 = 0", "z"),
+        "SELECT seed, node FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY round(visits, 10) DESC, node) AS k FROM z WHERE round(visits, 10) <> 0) WHERE k <= 5",
+        True,
+    ),
+    "cutoff_knee": _q(_CUT + ", box AS (SELECT max(score) AS hi, min(score) AS lo FROM ranked)", "SELECT arg_max(rank, 1 - (rank - 1)::DOUBLE / (n - 1) - (score - lo) / (hi - lo)) AS knee FROM ranked, box", True),
     "densify_rw_edges": _q(
         _THIN + _visits("SELECT id FROM thin", "z") + """, cand AS (SELECT z.seed AS src, z.node AS dst, vacant, row_number() OVER (PARTITION BY z.seed ORDER BY round(visits, 12) DESC, node) AS k
 FROM z JOIN thin ON thin.id = z.seed WHERE z.node <> z.seed AND visits > 0 AND node IN (SELECT id FROM core) AND NOT EXISTS (SELECT 1 FROM knn e WHERE e.src = z.seed AND e.dst = z.node))""",

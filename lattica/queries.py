@@ -17,6 +17,7 @@ from .operators import community, densify, diffusion, graph, layout, ranking, se
 from .plans import layered_map
 from .plans.config import Config
 from .plans.model import CorePeriphery
+from .sources.points import gaussian_pair as gaussian_points
 
 Q, R, FRAC, WIDE, RESOLUTION = 20, 10, 0.2, 0.6, 0.5
 
@@ -295,6 +296,37 @@ def gmm_anchors(spark, d):
     return layout.find_anchors(p, e, core, "smoothed", RESOLUTION)
 
 
+def cluster_core(spark, d):
+    p, e, core = _cored(spark, d)
+    return community.cluster_core(p, e, core, RESOLUTION)
+
+
+def choose_resolution(spark, d):
+    p, e, core = _cored(spark, d)
+    found = community.choose_resolution(e, p, core, start=RESOLUTION, most=1.5, seeds=(0, 1, 2))
+    return spark.range(1).select(F.lit(found).alias("resolution"))
+
+
+def cutoff_knee(spark, d):
+    return selection.cutoffs(_scored(spark, d)[2]).select("knee")
+
+
+def knn_lsh(spark, d):
+    return graph.knn_graph(points(spark, d), Q, method="lsh", tables=16, width=5).select("src", "dst", "pos")
+
+
+def top_per_row(spark, d):
+    return densify.top_per_row(rw_visits(spark, d), "seed", "node", "visits", 5, nonzero=True).select("seed", "node")
+
+
+def pca_embedding(spark, d):
+    return layout.pca_embedding(points(spark, d))
+
+
+def gaussian_pair(spark, d):
+    return gaussian_points(spark, 1000)
+
+
 def hops_ranking(spark, d):
     return ranking.hops_ranking(points(spark, d), Q, R).select("id", F.round("score", 8).alias("score"))
 
@@ -319,7 +351,7 @@ _ALL = (
     flowrank_core, pagerank, indegree_rank, hops_ranking, cutoffs, auto_core, majority_round, recursive_majority, core_self_check, consensus_intersection,
     rw_normalized, sym_normalized, diffusion_5, hard_labels, conf_argmax, conf_margin, conf_entropy, layer_ntile, densify_knn_edges, rw_visits,
     densify_rw_edges, heat_kernel_weights, epochs_per_sample, cumulative_layers, anchor_means, axis_ranges, trace_summary, leiden_core, stable_core,
-    fine_grained_core, gmm_anchors, full_pipeline, anchored_layout,
+    fine_grained_core, gmm_anchors, full_pipeline, anchored_layout, cluster_core, choose_resolution, cutoff_knee, knn_lsh, top_per_row, pca_embedding, gaussian_pair,
 )
 
 
