@@ -119,37 +119,37 @@ def _first_pass(capacity: int, open_bins: int, window: int, length_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        fit, held = BestFit(capacity, open_bins), {}
+        fit = BestFit(capacity, open_bins)
+        #: By open bin: whether each row lies in this batch or among the rows kept of those before, its place there, its offset.
+        held: dict[int, list[tuple[bool, int, int]]] = {}
+        kept: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            index, ids, offsets = [], [], []
             sizes = batch.column(length_col).to_pylist()
             order = [i for at in range(0, len(sizes), window) for i in sorted(range(at, min(at + window, len(sizes))), key=lambda i: -sizes[i])]
+            done: dict[bool, list[tuple[int, int, int]]] = {False: [], True: []}
             for i in order:
                 number, offset, closed = fit.place(sizes[i])
-                held.setdefault(number, []).append((batch, i, offset))
-                for done in closed:
-                    for part, row, at in held.pop(done):
-                        if part is batch:
-                            index.append(row)
-                        else:
-                            yield _placed(part.slice(row, 1), [base + done], [at])
-                            continue
-                        ids.append(base + done)
-                        offsets.append(at)
-            if index:
-                yield _placed(batch.take(pa.array(index)), ids, offsets)
-            for rows in held.values():  # keep the rows of open bins, not their whole batch
-                for k, (part, row, at) in enumerate(rows):
-                    if part is batch:
-                        rows[k] = (part.take(pa.array([row])), 0, at)
+                held.setdefault(number, []).append((True, i, offset))
+                for n in closed:
+                    for here, row, at in held.pop(n):
+                        done[here].append((row, base + n, at))
+            for source, rows in ((kept, done[False]), (batch, done[True])):
+                if rows:
+                    yield _placed(source.take(pa.array([r for r, _, _ in rows])), [n for _, n, _ in rows], [at for _, _, at in rows])
+            # Only the open bins' rows are kept.
+            places = {here: [row for rows in held.values() for h, row, _ in rows if h is here] for here in (False, True)}
+            first = len(places[False])
+            parts = [source.take(pa.array(places[here], pa.int64())) for here, source in ((False, kept), (True, batch)) if places[here]]
+            kept = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+            old, new = iter(range(first)), iter(range(first, first + len(places[True])))
+            held = {n: [(False, next(new) if here else next(old), at) for here, _, at in rows] for n, rows in held.items()}
         full = {n for free in range(int(capacity * ALMOST) + 1) for n in fit.at[free]}
-        for done in (True, False):
-            rest = [(base + n, part, at) for n, rows in held.items() if (n in full) == done for part, _, at in rows]
+        for done_ in (True, False):
+            rest = [(row, base + n, at) for n, rows in held.items() if (n in full) == done_ for _, row, at in rows]
             if rest:
-                batch = pa.Table.from_batches([part for _, part, _ in rest]).combine_chunks().to_batches()[0]
-                yield _placed(batch, [n for n, _, _ in rest] if done else None, [at for _, _, at in rest] if done else None)
+                yield _placed(kept.take(pa.array([r for r, _, _ in rest])), [n for _, n, _ in rest] if done_ else None, [at for _, _, at in rest] if done_ else None)
 
     return run
 
@@ -186,7 +186,7 @@ def _placed_schema(rows: StructType) -> StructType:
 
 
 def _finish(first: DataFrame, length_col: str, capacity: int, merged: int) -> DataFrame:
-    first = stored(first)
+    first = stored(first, "snappy")
     left = first.where("sequence_id is null")
     tasks = max(1, -(-left.rdd.getNumPartitions() // merged))
     return first.where("sequence_id is not null").unionAll(left.coalesce(tasks).mapInArrow(_last_pass(capacity, length_col), first.schema))
