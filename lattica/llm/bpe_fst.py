@@ -235,7 +235,7 @@ class Transducer:
 class Encoder(WordCache):
     """The transducer's ids of texts, cut by the pattern."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 150_000):
+    def __init__(self, path: str, pattern: str, cached: int = 200_000):
         super().__init__(pattern, cached)
         self.machine, self.matches = Transducer(read_ranks(path)), regex.compile(pattern).finditer
 

@@ -36,10 +36,10 @@ def byte_letters() -> dict[int, str]:
 class WordCache:
     """Token ids of texts from those of their words, for tokenizers that cut texts by a byte-level pattern and encode parts alone.
 
-    Up to `cached` words and twice as many parts are kept, and characters of words up to HELD; then the cache starts anew.
+    About `cached` words and as many parts are kept, and characters of words up to HELD; then the cache starts anew.
     """
 
-    def __init__(self, pattern: str, cached: int = 150_000):
+    def __init__(self, pattern: str, cached: int = 200_000):
         self.find, self.cached = regex.compile(pattern).findall, cached
         self.words: dict[str, bytes] = {}  # by what follows the blank
         self.parts: dict[str, bytes] = {}
@@ -56,24 +56,48 @@ class WordCache:
     def uncut(self, text: str) -> bool:
         return ODD_BLANK.search(text) is not None
 
-    def _learn(self, words: list[str]) -> None:
-        """Cache the ids of blanks followed by these words."""
-        cut = self.find(" " + " ".join(words))  # parts that begin with a blank begin a word
-        known = self.parts
-        new = list(set(cut).difference(known))
-        if len(known) + len(new) > 2 * self.cached:
-            known.clear()
-            new = list(set(cut))
-        known.update(zip(new, self.new_parts(new), strict=True))
-        own = iter(words)
-        word, ids = next(own), known[cut[0]]
+    def _learn(self, words: set[str]) -> None:
+        """Cache the ids of blanks followed by these words.
+
+        Letters alone are one part with their blank; what single other character follows them is the next part. Only
+        other words need the pattern.
+        """
+        known, letters, ended, other = self.words, set(), [], []
+        for word in words:
+            if word.isalpha():
+                letters.add(word)
+            elif (start := word[:-1]).isalpha():
+                ended.append((word, start, word[-1]))
+                if start not in known:
+                    letters.add(start)
+            else:
+                other.append(word)
+        new = list(letters)
+        known.update(zip(new, self.new_parts([" " + x for x in new]), strict=True))
+        if ended:
+            self._parts({end for _, _, end in ended})
+            parts = self.parts
+            known.update([(word, known[start] + parts[end]) for word, start, end in ended])
+        if not other:
+            return
+        cut = self.find(" " + " ".join(other))  # parts that begin with a blank begin a word
+        self._parts(set(cut))
+        own, parts = iter(other), self.parts
+        word, ids = next(own), parts[cut[0]]
         for part in cut[1:]:
             if part[0] == " ":
-                self.words[word] = ids
-                word, ids = next(own), known[part]
+                known[word] = ids
+                word, ids = next(own), parts[part]
             else:
-                ids += known[part]
-        self.words[word] = ids
+                ids += parts[part]
+        known[word] = ids
+
+    def _parts(self, parts: set[str]) -> None:
+        new = list(parts.difference(self.parts))
+        if len(self.parts) + len(new) > self.cached:
+            self.parts.clear()
+            new = list(parts)
+        self.parts.update(zip(new, self.new_parts(new), strict=True))
 
     def _ready(self, words: set[str]) -> None:
         new = words.difference(self.words)
@@ -85,7 +109,7 @@ class WordCache:
                 self.held = 0
         if new:
             self.held += sum(map(len, new))
-            self._learn(list(new))
+            self._learn(new)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -130,7 +154,7 @@ class WordCache:
 class CachedEncoder(WordCache):
     """The tokenizers library's ids."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 150_000):
+    def __init__(self, path: str, pattern: str, cached: int = 200_000):
         super().__init__(pattern, cached)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
