@@ -23,7 +23,7 @@ ODD_BLANK = re.compile(r" (?:\s|\Z)")
 
 #: Words looked up together, about; texts with more characters are encoded alone.
 GROUP = 50_000
-HELD = 32_000_000
+HELD = 64_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,7 +39,7 @@ class WordCache:
     About `cached` words and as many parts are kept, and characters of words up to HELD; then the cache starts anew.
     """
 
-    def __init__(self, pattern: str, cached: int = 200_000):
+    def __init__(self, pattern: str, cached: int = 600_000):
         self.find, self.cached = regex.compile(pattern).findall, cached
         self.words: dict[str, bytes] = {}  # by what follows the blank
         self.parts: dict[str, bytes] = {}
@@ -154,7 +154,7 @@ class WordCache:
 class CachedEncoder(WordCache):
     """The tokenizers library's ids."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 200_000):
+    def __init__(self, path: str, pattern: str, cached: int = 600_000):
         super().__init__(pattern, cached)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
