@@ -47,7 +47,7 @@ class Transducer:
     are. At most about `states` states are kept, then the machine starts anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 80_000):
         self.ranks, self.limit = ranks, states
         children: list[dict[int, int]] = [{}]
         ends = [-1]
@@ -235,7 +235,7 @@ class Transducer:
 class Encoder(WordCache):
     """The transducer's ids of texts, cut by the pattern."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 200_000):
+    def __init__(self, path: str, pattern: str, cached: int = 600_000):
         super().__init__(pattern, cached)
         self.machine, self.matches = Transducer(read_ranks(path)), regex.compile(pattern).finditer
 
