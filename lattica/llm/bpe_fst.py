@@ -10,6 +10,7 @@ once, so lookahead is bounded by the longest token.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -235,7 +236,7 @@ class Transducer:
 class Encoder(WordCache):
     """The transducer's ids of texts, cut by the pattern."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 600_000):
+    def __init__(self, path: str, pattern: str, cached: int = 800_000):
         super().__init__(pattern, cached)
         self.machine, self.matches = Transducer(read_ranks(path)), regex.compile(pattern).finditer
 
@@ -339,7 +340,9 @@ class StreamDecoder:
 
 @lru_cache(2)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    found = Encoder(path, pattern)
+    gc.freeze()  # the trie stays; the garbage collector need not walk it again and again
+    return found
 
 
 @lru_cache(2)
