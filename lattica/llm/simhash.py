@@ -30,19 +30,25 @@ MAX_SHARDS_SHARE = 1 / 48
 MAX_DEPTH = 4
 
 
-def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
-    """A-Z lower-cased, words between space and \\t-\\r, shingles with repeats; a bit is set if over half the hashes set it."""
+def shingle_hashes(text: str | None, width: int = WIDTH, seed: int = SEED) -> list[int]:
+    """A-Z lower-cased, words between space and \\t-\\r, shingles with repeats; a shorter text is one shingle, an empty one none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+        return [digest(joined, seed)]
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends)]
+    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+
+
+def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
+    """The 64 bits of the text's shingles: a bit is set if over half the hashes set it."""
+    hashes = shingle_hashes(text, width, seed)
+    if not hashes:
+        return 0
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 18):
         part = np.array(hashes[at : at + (1 << 18)], np.uint64)
@@ -219,14 +225,14 @@ def linked(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -
     return visits.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest id reachable over links of `radius` or fewer differing bits.
 
     Equal fingerprints collapse before the search, so groups of copies cost one row. Null text counts as empty; empty
     texts link with each other. Rows with a null id keep their fingerprint, join no others and get the component of
     their fingerprint, or null if no row with an id has it. Equal rows all stay; an empty table gives no rows.
     """
-    own = checkpoint(fingerprints(docs, id_col, text_col))
+    own = checkpoint(fingerprints(docs, id_col, text_col, width))
     reps = own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = checkpoint(reps)
     found = connected_components(linked(reps, radius))
@@ -234,9 +240,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Keep the document with the smallest id of each component, once if its row repeats; rows with a null id all stay."""
-    found = checkpoint(near_duplicates(docs, id_col, text_col, radius))
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, similarity: float | None = None) -> DataFrame:
+    """Keep the document with the smallest id of each component, once if its row repeats; rows with a null id all stay.
+
+    With a similarity, links are pairs of texts whose sets of `width`-word shingles have that Jaccard similarity or more,
+    and rows go by text, so different texts under one id stay apart; without one, links are fingerprints within `radius`.
+    """
+    if similarity is not None:
+        from . import shingles  # it uses this module's hashes
+
+        return shingles.drop_similar(docs, id_col, text_col, width, similarity)
+    found = checkpoint(near_duplicates(docs, id_col, text_col, radius, width))
     keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     once, several = keep.where("__n = 1").select("__id"), keep.where("__n > 1").select("__id")
     match = lambda ids: docs.join(ids, docs[id_col] == ids["__id"], "left_semi")

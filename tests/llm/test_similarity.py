@@ -118,6 +118,48 @@ def test_near_duplicates_and_what_stays(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_copies(seed=11):
+    """Texts and copies with some words changed: Jaccard similarities on both sides of 0.8, a shared passage, a long chain."""
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(WORDS, rng.integers(1, 150))) for _ in range(40)]
+    for t in texts[:30]:
+        for n in (1, 2, 4):
+            words = t.split()
+            for k in rng.integers(0, len(words), n):
+                words[k] = "changed"
+            texts.append(" ".join(words))
+    passage = " ".join(rng.choice(WORDS, 60))
+    texts += [passage + " " + " ".join(rng.choice(WORDS, n)) for n in (5, 10, 15, 20, 80, 90)]
+    chain = list(rng.choice(WORDS, 150))
+    texts += [" ".join(chain[4 * k : 100 + 4 * k]) for k in range(12)]
+    return [*texts, texts[0], texts[3].upper(), "", None, "  "]
+
+
+def jaccard(a, b):
+    def sets(t):
+        w = re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = sets(a), sets(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_pipeline_drops_by_similarity_of_five_words(spark, monkeypatch, stars):
+    import corpus_pipeline as pipeline
+    from lattica.llm import shingles
+
+    monkeypatch.setattr(shingles, "STARS", stars)
+    texts = near_copies()
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    far = [(a, b) for a, b in near if (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 4]
+    assert len(far) > 10
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[1])], "doc_id long, text string")
+    kept = [r.doc_id for r in pipeline.drop_near_duplicates(spark, df, "").collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(set(groups(len(texts), near))) and kept.count(None) == 1
+    assert pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 # ---------------------------------------------------------------- embeddings
 
 
