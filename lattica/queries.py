@@ -225,7 +225,7 @@ def densify_knn_edges(spark, d):
 
 def rw_visits(spark, d):
     _, e, core = _cored(spark, d)
-    return densify.random_walk_visits(e, core.where("id % 10 = 0")).select("seed", "node", F.round("visits", 10).alias("visits"))
+    return densify.random_walk_visits(e, core).select("seed", "node", F.round("visits", 10).alias("visits"))
 
 
 def densify_rw_edges(spark, d):
