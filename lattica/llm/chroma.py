@@ -235,8 +235,8 @@ def match_recordings(media: DataFrame, id_col: str, media_col: str, query_modulo
 
     One row per input row: id, n_ints, ints, class_id (smallest id with equal integers), is_query, n_links (classes of
     queries, other than its own, that it aligns with), best_to, best_offset, best_overlap, best_errors (null without
-    links). Equal fingerprints are searched once. Rows without integers (null, empty or too short media) form one class
-    and link with nothing; rows with a null id share their class's links, and are a class of id null if no other row has
+    links). Equal fingerprints are searched once. Rows without integers (null, empty or too short media) are each a class of
+    their own and link with nothing; rows with a null id share their class's links, and are a class of id null if no other row has
     their fingerprint. An empty table gives no rows.
     """
     own = checkpoint(fingerprints(media, id_col, media_col, p))
@@ -248,7 +248,7 @@ def match_recordings(media: DataFrame, id_col: str, media_col: str, query_modulo
     of = classes.join(links, "rep", "left").select("ints", F.col("rep").alias("class_id"), "n_links", F.col("to").alias("best_to"), F.col("offset").alias("best_offset"), F.col("overlap").alias("best_overlap"), F.col("errors").alias("best_errors"))
     out = own.join(of, "ints", "left")
     return out.select(
-        "id", "n_bytes", (F.length("ints") / 4).cast("long").alias("n_ints"), "ints", "class_id",
+        "id", "n_bytes", (F.length("ints") / 4).cast("long").alias("n_ints"), "ints", F.when(F.length("ints") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False)).alias("is_query"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best_to", "best_offset", "best_overlap", "best_errors",
     )

@@ -11,7 +11,7 @@ from . import bitpack, bpe_fst, chat, chroma, packing, pii, pstable, simhash, to
 from .common import pattern, table, tokenizer_path
 
 #: The tables hold no audio: a text's UTF-8 bytes are taken as unsigned 8-bit samples, so frames are short.
-TEXT_AUDIO = chroma.Params(rate=8000, frame=256, hop=64)
+TEXT_AUDIO = chroma.Params(rate=8000, frame=64, hop=16)
 
 
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

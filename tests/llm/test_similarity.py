@@ -230,6 +230,20 @@ def test_recordings_align(spark):
     assert blocked == got
 
 
+def test_short_texts_have_integers_and_classes(spark, tmp_path):
+    from lattica.llm import queries
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(WORDS, 90))[:440] for _ in range(6)]
+    late = texts[0][: 16 * 20] + texts[0]
+    rows = [(100 * i, t) for i, t in enumerate(texts)] + [(1, texts[0]), (2, late), (3, "one"), (4, "two"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_chroma_fingerprints(spark, str(tmp_path)).collect()}
+    assert all(got[100 * i].n_ints >= 8 and got[100 * i].class_id == 100 * i for i in range(6)) and got[1].class_id == 0
+    assert (got[2].best_to, got[2].best_offset) == (0, 20)
+    assert [(got[i].n_ints, got[i].class_id) for i in (3, 4, 5)] == [(0, 3), (0, 4), (0, 5)]
+
+
 def test_filters_equal_plain_sums():
     p = chroma.Params(rate=8000, frame=256, hop=64)
     image = np.random.default_rng(7).integers(0, 65536, (40, 12))
