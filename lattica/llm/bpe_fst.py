@@ -2,9 +2,11 @@
 
 The merges are compiled into a trie of the tokens and a relation between neighbours: tokens a, b may follow each other
 if merging their joined bytes gives back exactly a, b. The encoding of a byte string is its only cut into tokens whose
-neighbours may all follow each other. The non-deterministic transducer guesses the cuts; a deterministic state is the
-set of its live guesses (place in the trie, last token, tokens not yet certain). What all guesses share is emitted at
-once, so lookahead is bounded by the longest token.
+neighbours may all follow each other, and each prefix has one too. The non-deterministic transducer guesses where tokens
+begin: its live guesses are the trie's nodes that a suffix of the bytes so far leads to, so a deterministic state is named by
+the deepest of them. A transition tells the next state and the tokens that may end there; it is made when first taken and kept.
+Of these tokens one may follow what ends where it begins. What the encodings of all places where a live guess began
+share is certain and is emitted, so lookahead is bounded.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import base64
 import gc
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, texts
+from .common import resident, sliced, texts
 from .tokens import WordCache
 
 
@@ -41,51 +42,52 @@ def merge_all(ranks: dict[bytes, int], data: bytes, least: int = 1) -> list[int]
     return [ranks[p] for p in parts]
 
 
-class Transducer:
-    """encode(part) gives the ids of one part of the pattern.
+#: Bytes after which what is certain is emitted.
+SPAN = 64
 
-    A transition is determinised and kept when it is taken for the second time; until then the guesses are followed as they
-    are. At most about `states` states are kept, then the machine starts anew.
-    """
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 80_000):
-        self.ranks, self.limit = ranks, states
-        children: list[dict[int, int]] = [{}]
-        ends = [-1]
+class Transducer:
+    """encode(part) gives the ids of one part of the pattern. About `kept` transitions are kept, then the machine starts anew."""
+
+    def __init__(self, ranks: dict[bytes, int], kept: int = 200_000):
+        self.ranks, self.kept = ranks, kept
         #: The two tokens whose merge makes a token last; None for bytes, and for tokens that merging does not reach, which
         #: stand for themselves only as a whole part.
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.down: dict[int, int] = {}  # by trie node (a multiple of 256) and byte: the next node
+        self.ends: dict[int, tuple[int, int]] = {}  # likewise: the token that ends there, and its length
+        self.depth = {0: 0}
         for data, i in ranks.items():
             halves = merge_all(ranks, data, 2) if len(data) > 1 else None
             self.halves[i] = tuple(halves) if halves and len(halves) == 2 and merge_all(ranks, data) == [i] else None
             at = 0
-            for c in data:
-                down = children[at].get(c)
-                if down is None:
-                    down = children[at][c] = len(ends)
-                    children.append({})
-                    ends.append(-1)
-                at = down
-            ends[at] = i if len(data) == 1 or self.halves[i] else -1
-        #: By trie node and byte: the next node, or -1 if it has no children, and the token that ends there, or -1.
-        self.steps = [{c: (down if children[down] else -1, ends[down]) for c, down in row.items()} for row in children]
+            for n, c in enumerate(data[:-1], 1):
+                at = self.down.setdefault(at | c, (len(self.down) + 1) << 8)
+                self.depth[at] = n
+            if len(data) == 1 or self.halves[i]:
+                self.ends[at | data[-1]] = i, len(data)
         self.token = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.follows: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.guesses: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]] | None]] = []
-        self._number(((0, -1, ()),))
-
-    def _number(self, guesses: tuple) -> int:
-        n = self.numbers.get(guesses)
-        if n is None:
-            n = self.numbers[guesses] = len(self.guesses)
-            self.guesses.append(guesses)
-            self.moves.append({})
-        return n
+        self.found: dict[tuple, tuple] = {}
+        self._start()
+
+    def _start(self) -> None:
+        #: By state and byte: the next state, and token and length of all that may end there, the longest first.
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+        #: By state: the nodes of its live guesses, the deepest (its name) first, the root last.
+        self.live: dict[int, tuple[int, ...]] = {0: (0,)}
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """Determinise a transition."""
+        nodes = self.live[state]
+        now = (*(self.down[n | byte] for n in nodes if n | byte in self.down), 0)
+        ends = tuple(self.ends[n | byte] for n in nodes if n | byte in self.ends)
+        if not ends:
+            raise ValueError(f"byte {byte} has no token")
+        self.live.setdefault(now[0], now)
+        move = self.moves[state | byte] = now[0], self.found.setdefault(ends, ends)
+        return move
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b leaves a, b: undo the latest merge next to the border, again and again; a pair across
@@ -110,134 +112,71 @@ class Transducer:
         self.follows[a << 32 | b] = known
         return known
 
-    def _next(self, guesses: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """The guesses alive after a byte, and the tokens that are now certain."""
-        live, steps, follows, ended = [], self.steps, self.follows, False
-        for node, last, pending in guesses:
-            step = steps[node].get(byte)
-            if step is None:
-                continue
-            down, end = step
-            if down >= 0:
-                live.append((down, last, pending))
-            if end >= 0 and not ended:  # the bytes so far have one encoding, so one guess can end here
-                if last >= 0:
-                    fits = follows.get(last << 32 | end)
-                    if fits is None:
-                        fits = self.may_follow(last, end)
-                    if not fits:
-                        continue
-                ended = True
-                live.append((0, end, (*pending, end)))
-        if not live:
-            raise ValueError(f"byte {byte} has no token")
-        shared = live[0][2]
-        if shared:
-            for _, _, pending in live:
-                if pending[: len(shared)] != shared:
-                    n = 0
-                    for x, y in zip(shared, pending, strict=False):
-                        if x != y:
-                            break
-                        n += 1
-                    shared = shared[:n]
-                    if not n:
-                        break
-            if shared:
-                n = len(shared)
-                live = [(node, last, pending[n:]) for node, last, pending in live]
-        return tuple(live), shared
-
-    def _finish(self, guesses: tuple, data: bytes, at: int) -> list[int]:
-        """All tokens still to come, for the bytes from `at` to the end. Pending tokens are linked, not copied: a chain is a tuple of
-        tokens, or a chain and a token."""
-        steps, follows = self.steps, self.follows
-        live = guesses
-        for byte in data[at:-1]:
-            now, ended = [], False
-            for node, last, chain in live:
-                step = steps[node].get(byte)
-                if step is not None:
-                    down, end = step
-                    if down >= 0:
-                        now.append((down, last, chain))
-                    if end >= 0 and not ended:
-                        if last >= 0:
-                            fits = follows.get(last << 32 | end)
-                            if fits is None:
-                                fits = self.may_follow(last, end)
-                            if not fits:
-                                continue
-                        ended = True
-                        now.append((0, end, (chain, end)))
-            live = now
-        byte = data[-1]
-        for node, last, chain in live:  # only the guess that ends here counts
-            step = steps[node].get(byte)
-            if step is not None and step[1] >= 0:
-                end = step[1]
-                if last >= 0:
-                    fits = follows.get(last << 32 | end)
-                    if fits is None:
-                        fits = self.may_follow(last, end)
-                    if not fits:
-                        continue
-                tail = [end]
-                while chain and type(chain[0]) is tuple:
-                    chain, token = chain
-                    tail.append(token)
-                return [*chain, *reversed(tail)]
-        raise ValueError(f"byte {byte} has no token")
+    def _certain(self, state: int, last: list[int]) -> int:
+        """The latest place that the encodings of all places where a live guess began go through."""
+        places = {len(last) - 1 - self.depth[n] for n in self.live[state]}
+        while len(places) > 1:
+            latest = max(places)
+            places.remove(latest)
+            places.add(latest - self.size[last[latest]])
+        return places.pop()
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens that end at `at`, from the first."""
+        out, size = [], self.size
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.guesses) > self.limit:
-            self._reset()
+        if len(self.moves) > self.kept:
+            self._start()
+            self.found.clear()
         out: list[int] = []
-        state, moves, size = 0, self.moves, len(data)
-        at = 0
-        while at < size:
-            byte = data[at]
-            move = moves[state].get(byte, 0)
-            if move:
-                state, certain = move
-                if certain:
-                    out += certain
-                at += 1
-                continue
-            if move is None:  # seen once before
-                guesses, certain = self._next(self.guesses[state], byte)
-                now = self._number(guesses)
-                moves[state][byte] = now, certain
-                state = now
-                if certain:
-                    out += certain
-                at += 1
-                continue
-            moves[state][byte] = None
-            guesses = self.guesses[state]
-            stop = min(size, at + 256)  # a long part may meet known states again
-            if stop == size:
-                return out + self._finish(guesses, data, at)
-            while at < stop:
-                guesses, certain = self._next(guesses, data[at])
-                if certain:
-                    out += certain
-                at += 1
-            if len(self.guesses) > self.limit:
-                self._reset()
-                moves = self.moves
-            state = self._number(guesses)
-        return out + list(next(pending for node, _, pending in self.guesses[state] if node == 0))
+        state, follows = 0, self.follows.get
+        moves = self.moves
+        last = [-1]  # by place after the last emitted token: the token that ends there; at the first, the emitted one
+        for at in range(0, len(data), SPAN):
+            i = len(last)
+            part = data[at : at + SPAN]
+            last += part
+            for byte in part:
+                try:
+                    state, ends = moves[state | byte]
+                except KeyError:
+                    state, ends = self._move(state, byte)
+                for token, size in ends:
+                    before = last[i - size] if size <= i else -2
+                    if before < 0:
+                        if before == -1:  # all bytes so far are this token
+                            break
+                        continue
+                    fits = follows(before << 32 | token)
+                    if fits is None:
+                        fits = self.may_follow(before, token)
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"byte {byte} has no token")
+                last[i] = token
+                i += 1
+            if at + SPAN < len(data) and (place := self._certain(state, last)):
+                out += self._back(last, place)
+                del last[:place]
+        return out + self._back(last, len(last) - 1)
 
 
 class Encoder(WordCache):
     """The transducer's ids of texts, cut by the pattern."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 800_000):
-        super().__init__(pattern, cached)
+    def __init__(self, path: str, pattern: str):
+        super().__init__(pattern)
         self.machine, self.matches = Transducer(read_ranks(path)), regex.compile(pattern).finditer
 
     def new_parts(self, parts: list[str]) -> list[bytes]:
@@ -338,20 +277,19 @@ class StreamDecoder:
         return "\ufffd" if left else ""
 
 
-@lru_cache(2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    found = Encoder(path, pattern)
-    gc.freeze()  # the trie stays; the garbage collector need not walk it again and again
-    return found
+def _machines(path: str, pattern: str | None) -> tuple[Encoder | None, list[bytes]]:
+    """The encoder, where a pattern is given, and the tokens' bytes by id."""
 
+    def make() -> tuple[Encoder | None, list[bytes]]:
+        ranks = read_ranks(path)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for data, i in ranks.items():
+            tokens[i] = data
+        found = Encoder(path, pattern) if pattern is not None else None, tokens
+        gc.freeze()  # the trie stays; the garbage collector need not walk it again and again
+        return found
 
-@lru_cache(2)
-def _tokens(path: str) -> list[bytes]:
-    ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
-    for data, i in ranks.items():
-        out[i] = data
-    return out
+    return resident((Encoder, path, pattern), make)
 
 
 def _lists(ids: list[bytes]) -> pa.ListArray:
@@ -367,7 +305,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """doc_id, ids (array<int>) for every row; null text counts as empty and has no ids. Equal rows all stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode_all
+        encode = _machines(path, pattern)[0].encode_all
         for part in sliced(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(encode(texts(part, 1)))], ["doc_id", "ids"])
 
@@ -378,7 +316,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text: the ids decoded as a stream. Null ids give null text; an id outside the vocabulary fails the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = StreamDecoder(_tokens(path))
+        decoder = StreamDecoder(_machines(path, None)[1])
         for part in sliced(batches):
             column = part.column("ids")
             text = [decoder.feed(x.tolist()) + decoder.end() if x is not None else None for x in column.to_numpy(zero_copy_only=False)]
@@ -391,7 +329,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """decode_ids(encode_texts(docs)) in one pass: doc_id, ids, and the text that the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, decoder = _encoder(path, pattern).encode_all, StreamDecoder(_tokens(path))
+        encoder, tokens = _machines(path, pattern)
+        encode, decoder = encoder.encode_all, StreamDecoder(tokens)
         for part in sliced(batches):
             ids = encode(texts(part, 1))
             text = [decoder.feed(array("I", x).tolist()) + decoder.end() for x in ids]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, sliced
 
 FILTERS = 16
 
@@ -142,12 +142,10 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, p: Params = Para
     """id, n_samples_bytes, ints (binary, little-endian unsigned 32-bit) for every row; null media count as empty, without integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                data = [x or b"" for x in part.column(1).to_pylist()]
-                found = [x.astype("<u4").tobytes() for x in fingerprint_all(data, p)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(found, pa.binary())], ["id", "n_bytes", "ints"])
+        for part in sliced(batches):
+            data = [x or b"" for x in part.column(1).to_pylist()]
+            found = [x.astype("<u4").tobytes() for x in fingerprint_all(data, p)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(found, pa.binary())], ["id", "n_bytes", "ints"])
 
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("m")).mapInArrow(run, "id long, n_bytes long, ints binary")
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,15 +57,50 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a function works on at once, so that a worker holds few texts beside its input.
-ROWS = 512
+#: Rows, and bytes but for a single row, that a function works on at once, so that a worker holds few texts beside its input.
+ROWS, BYTES = 512, 4 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most `rows` rows."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `size` bytes; a longer row is a slice of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.nbytes <= size:
+            ends = []
+        else:
+            wide = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False) for x in batch.columns if pa.types.is_binary(x.type) or pa.types.is_string(x.type)]
+            wide += [8 * pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in batch.columns if pa.types.is_list(x.type)]
+            ends = np.cumsum(sum(x.astype(np.int64) for x in wide) + 64) if wide else []
+        at = 0
+        while at < batch.num_rows:
+            stop = min(at + rows, batch.num_rows)
+            if len(ends):
+                stop = min(stop, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """What `make` returns, kept in this worker until another key is asked for: workers serve one operator after the other,
+    and what one needs must not stay while the next one works."""
+    if key not in _resident:
+        if _resident:
+            release()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Give up what resident() holds, and the freed memory back to the system."""
+    if not _resident:
+        return
+    _resident.clear()
+    gc.unfreeze()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

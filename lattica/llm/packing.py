@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import stored, texts
+from .common import sliced, stored, texts
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -73,8 +73,7 @@ def _cut(path: str, pattern: str, capacity: int, end_id: int):
         encode = encoder(path, pattern).encode_all
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in sliced([batch], 256):
                 for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part, 1)), strict=True):
                     ids += end
                     total = len(ids) // 4

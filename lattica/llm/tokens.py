@@ -11,10 +11,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import regex
 
+from .common import resident
+
 #: Characters that all Unicode versions of the last years class alike.
 UNSURE = re.compile(r"[^\x01-\u0557\u0600-\u06ff\u0900-\u097f\u1e00-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u9fff\uac00-\ud7a3]")
 #: A blank after which no word starts: there the text is not cut at blanks alone.
@@ -23,7 +24,36 @@ ODD_BLANK = re.compile(r" (?:\s|\Z)")
 
 #: Words looked up together, about; texts with more characters are encoded alone.
 GROUP = 50_000
-HELD = 64_000_000
+#: Bytes of words and of parts that a cache may hold, about, and what an entry takes besides its letters and ids.
+WORD_BYTES, PART_BYTES, ENTRY = 128 << 20, 24 << 20, 140
+
+
+class Recent:
+    """Values by text in about `budget` bytes: a young and an old generation; a full young one becomes the old one, and what is asked
+    for again moves up. Between two calls of turn() nothing that was put goes."""
+
+    def __init__(self, budget: int):
+        self.most, self.size = budget // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if self.size > self.most:
+            self.old = self.young if self.size < 2 * self.most else {}
+            self.young, self.size = {}, 0
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that neither generation has; keys that only the old one has move up."""
+        new, old = keys.difference(self.young), self.old
+        if new and old:
+            up = [k for k in new if k in old]
+            self.put(up, [old[k] for k in up])
+            new.difference_update(up)
+        return new
+
+    def put(self, keys, values) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.size += ENTRY * len(keys) + 3 * sum(map(len, keys))
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,14 +66,13 @@ def byte_letters() -> dict[int, str]:
 class WordCache:
     """Token ids of texts from those of their words, for tokenizers that cut texts by a byte-level pattern and encode parts alone.
 
-    About `cached` words and as many parts are kept, and characters of words up to HELD; then the cache starts anew.
+    Words and parts used of late are kept, of bounded bytes.
     """
 
-    def __init__(self, pattern: str, cached: int = 600_000):
-        self.find, self.cached = regex.compile(pattern).findall, cached
-        self.words: dict[str, bytes] = {}  # by what follows the blank
-        self.parts: dict[str, bytes] = {}
-        self.held = 0
+    def __init__(self, pattern: str, word_bytes: int = WORD_BYTES, part_bytes: int = PART_BYTES):
+        self.find = regex.compile(pattern).findall
+        self.words = Recent(word_bytes)  # by what follows the blank
+        self.parts = Recent(part_bytes)
 
     def new_parts(self, parts: list[str]) -> list[bytes]:
         """The ids of parts of the pattern, each alone."""
@@ -62,54 +91,46 @@ class WordCache:
         Letters alone are one part with their blank; what single other character follows them is the next part. Only
         other words need the pattern.
         """
-        known, letters, ended, other = self.words, set(), [], []
+        known, letters, ended, other = self.words.young, set(), [], []
         for word in words:
             if word.isalpha():
                 letters.add(word)
             elif (start := word[:-1]).isalpha():
                 ended.append((word, start, word[-1]))
-                if start not in known:
-                    letters.add(start)
             else:
                 other.append(word)
+        letters |= self.words.missing({start for _, start, _ in ended} - letters)
         new = list(letters)
-        known.update(zip(new, self.new_parts([" " + x for x in new]), strict=True))
+        self.words.put(new, self.new_parts([" " + x for x in new]))
         if ended:
-            self._parts({end for _, _, end in ended})
-            parts = self.parts
-            known.update([(word, known[start] + parts[end]) for word, start, end in ended])
+            parts = self._parts({end for _, _, end in ended})
+            self.words.put([word for word, _, _ in ended], [known[start] + parts[end] for _, start, end in ended])
         if not other:
             return
         cut = self.find(" " + " ".join(other))  # parts that begin with a blank begin a word
-        self._parts(set(cut))
-        own, parts = iter(other), self.parts
-        word, ids = next(own), parts[cut[0]]
-        for part in cut[1:]:
+        parts = self._parts(set(cut))
+        found: list[bytes] = []
+        for part in cut:
             if part[0] == " ":
-                known[word] = ids
-                word, ids = next(own), parts[part]
+                found.append(parts[part])
             else:
-                ids += parts[part]
-        known[word] = ids
-
-    def _parts(self, parts: set[str]) -> None:
-        new = list(parts.difference(self.parts))
-        if len(self.parts) + len(new) > self.cached:
-            self.parts.clear()
-            new = list(parts)
-        self.parts.update(zip(new, self.new_parts(new), strict=True))
-
-    def _ready(self, words: set[str]) -> None:
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > self.cached or self.held > HELD:
-            self.words.clear()
-            new = words
-            if self.held > HELD:
-                self.parts.clear()
-                self.held = 0
+                found[-1] += parts[part]
+        self.words.put(other, found)
+
+    def _parts(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of these parts and others."""
+        self.parts.turn()
+        new = list(self.parts.missing(parts))
+        self.parts.put(new, self.new_parts(new))
+        return self.parts.young
+
+    def _ready(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of these words and others."""
+        self.words.turn()
+        new = self.words.missing(words)
         if new:
-            self.held += sum(map(len, new))
             self._learn(new)
+        return self.words.young
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -119,8 +140,7 @@ class WordCache:
         out = [self.whole(first)] if first else []
         for at in range(0, len(rest), GROUP):  # the cache may start anew between slices
             words = rest[at : at + GROUP]
-            self._ready(set(words))
-            out += map(self.words.__getitem__, words)
+            out += map(self._ready(set(words)).__getitem__, words)
         return b"".join(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -130,9 +150,9 @@ class WordCache:
         count = 0
 
         def flush() -> None:
-            self._ready(set().union(*(words for _, words in waiting)))
+            known = self._ready(set().union(*(words for _, words in waiting)))
             for k, words in waiting:
-                out[k] += b"".join(map(self.words.__getitem__, words))
+                out[k] += b"".join(map(known.__getitem__, words))
             waiting.clear()
 
         for k, text in enumerate(texts):
@@ -154,8 +174,8 @@ class WordCache:
 class CachedEncoder(WordCache):
     """The tokenizers library's ids."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 600_000):
-        super().__init__(pattern, cached)
+    def __init__(self, path: str, pattern: str):
+        super().__init__(pattern)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -177,6 +197,5 @@ class CachedEncoder(WordCache):
         return [array("I", [t.id for t in tokenize(letters)]).tobytes() for letters in spelled]
 
 
-@lru_cache(2)
 def encoder(path: str, pattern: str) -> CachedEncoder:
-    return CachedEncoder(path, pattern)
+    return resident((CachedEncoder, path, pattern), lambda: CachedEncoder(path, pattern))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import sliced, texts
+from .common import resident, sliced, texts
 
 BITS = 20
 #: Texts of either kind from which the model is fitted, at most: the first by a hash of their ids.
@@ -132,9 +131,8 @@ class Buckets:
         return keys >> np.int64(self.bits), keys & np.int64((1 << self.bits) - 1)
 
 
-@lru_cache(1)
 def _buckets() -> Buckets:
-    return Buckets()
+    return resident((Buckets,), Buckets)
 
 
 def fold(id_col: str) -> Column:

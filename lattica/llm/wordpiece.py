@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, texts
+from .common import resident, sliced, texts
 
 MARK = "▁"  # stands before each word in the vocabulary
 
@@ -99,9 +98,8 @@ def read_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
-@lru_cache(2)
 def automaton(path: str) -> Automaton:
-    return Automaton(read_pieces(path))
+    return resident((Automaton, path), lambda: Automaton(read_pieces(path)))
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

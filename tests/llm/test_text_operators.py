@@ -135,8 +135,13 @@ def test_checked_kinds_context_and_redaction(spark):
 # ---------------------------------------------------------------- token ids
 
 
+def small_memory(encoder, size=10_000):
+    encoder.words.most = encoder.parts.most = size
+    return encoder
+
+
 def test_cached_encoder_equals_the_library(library):
-    e = tokens.CachedEncoder(JSON, pattern(), cached=20)
+    e = small_memory(tokens.CachedEncoder(JSON, pattern()), 3000)
     for _, text in ODD:
         assert np.frombuffer(e.encode(text or ""), "<u4").tolist() == library(text)
 
@@ -236,7 +241,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def machine():
-    return bpe_fst.Encoder(RANKS, pattern(), cached=50)
+    return small_memory(bpe_fst.Encoder(RANKS, pattern()))
 
 
 @settings(max_examples=300, deadline=None)
@@ -245,9 +250,30 @@ def test_transducer_equals_tiktoken(machine, reference, text):
     assert np.frombuffer(machine.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_transducer_emits_before_a_parts_end():
+    ranks = bpe_fst.read_ranks(RANKS)
+    m = bpe_fst.Transducer(ranks)
+    assert b"".join(m.token[t] for t in m.encode(b"ab" * 5000)) == b"ab" * 5000
+    state, last = 0, [-1]
+    for byte in b"the quick brown fox":  # what is certain lies less than the longest token behind
+        state, ends = m._move(state, byte)
+        last.append(next(t for t, n in ends if (b := last[len(last) - n] if n <= len(last) else -2) == -1 or (b >= 0 and m.may_follow(b, t))))
+    assert m._certain(state, last) >= len(last) - 1 - max(map(len, ranks))
+    assert m._back(last, m._certain(state, last)) == m.encode(b"the quick brown fox")[: len(m._back(last, m._certain(state, last)))]
+
+
+def test_recent_keeps_what_is_asked_for_again():
+    r = tokens.Recent(2 * (tokens.ENTRY + 3) * 4)
+    for k in range(20):
+        r.turn()
+        new = r.missing({"a", chr(98 + k)})
+        r.put(new, [x.encode() for x in new])
+        assert r.young["a"] == b"a" and len(r.young) + len(r.old) <= 12
+
+
 def test_transducer_on_long_parts_and_small_memory(reference):
-    small = bpe_fst.Encoder(RANKS, pattern(), cached=5)
-    small.machine.limit = 20
+    small = small_memory(bpe_fst.Encoder(RANKS, pattern()), 1000)
+    small.machine.kept = 20
     for text in ("a" * 5000, "ab" * 3000, " " * 2000, "=" * 1500, *(t or "" for _, t in ODD)):
         assert np.frombuffer(small.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
