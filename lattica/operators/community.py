@@ -66,19 +66,24 @@ def recursive_majority(edges: DataFrame, labels: DataFrame, mask: DataFrame, n:
     tolerance = int(TOLERANCE * n)
     state = checkpoint(own.select("seed", "id", "label"))
     found = state.limit(0).select("seed", "id", "label", F.lit(0).alias("round"))
-    running = [r.seed for r in state.select("seed").distinct().collect()]  # a handful of seeds
+    size = {r.seed: r.n for r in state.groupBy("seed").agg(F.count("*").alias("n")).collect()}  # a handful of seeds
+    running, ended = list(size), set()
     for number in range(1, max_rounds + 3):
         if not running:
             break
         here = state.where(F.col("seed").isin(running))
-        before = {r.seed: r.n for r in here.groupBy("seed").agg(F.count("*").alias("n")).collect()}
-        won = checkpoint(majority_round(edges, here, mask, degree))
-        now = checkpoint(state.join(won, ["seed", "id"], "left_anti").unionByName(won))
-        after = {r.seed: r.n for r in now.where(F.col("seed").isin(running)).groupBy("seed").agg(F.count("*").alias("n")).collect()}
+        won = majority_round(edges, here, mask, degree)
+        won = checkpoint(won.join(here.withColumnRenamed("label", "old"), ["seed", "id"], "left").select("seed", "id", "label", "old"))
+        told = {r.seed: r for r in won.groupBy("seed").agg(F.expr("count_if(old is null)").alias("new"), F.expr("count_if(old is null or old <> label)").alias("changed")).collect()}
+        for s in running:
+            new, changed = (told[s].new, told[s].changed) if s in told else (0, 0)
+            if new < tolerance or size[s] > ENOUGH * n or (tolerance == 0 and not changed):
+                ended.add(s)
+            size[s] += new
+        won = won.drop("old")
+        state = checkpoint(state.join(won, ["seed", "id"], "left_anti").unionByName(won))
         found = found.unionByName(won.withColumn("round", F.lit(number)))
-        changed = {r.seed for r in won.join(state.withColumnRenamed("label", "old"), ["seed", "id"], "left").where("old is null or old <> label").select("seed").distinct().collect()}
-        state = now
-        running = [s for s in running if not (after[s] - before[s] < tolerance or before[s] > ENOUGH * n or (tolerance == 0 and s not in changed))]
+        running = [s for s in running if s not in ended]
     latest = Window.partitionBy("seed", "id").orderBy(F.desc("round"))
     first = Window.partitionBy("seed", "id")
     out = found.withColumn("k", F.row_number().over(latest)).withColumn("first", F.min("round").over(first)).where("k = 1")
@@ -119,18 +124,27 @@ def stable_core(points: DataFrame, edges: DataFrame, scores: DataFrame, core_fra
 
 
 def fine_grained_core(points: DataFrame, edges: DataFrame, stable: DataFrame, core_frac: float = 0.2, auto: bool = False, starting_resolution: float = 1.5, densification: bool | str = False, second_densification: bool | str = False, r: int = 10, seeds: Sequence[int] = SEEDS) -> tuple[DataFrame, DataFrame]:
-    """(layers(id, layer): the confirmed part of the stable core's core is 0, its rest 1; edges).
+    """(layers(id, layer): the confirmed part of the stable core's core is 0, its rest 1; edges, densified if asked).
 
-    The core's size is a fraction of all points, so it may take in the whole stable core.
+    Ranking, second densification and votes are on the graph that the stable core induces. The core's size is a fraction of all
+    points, so it may take in the whole stable core.
     """
     edges = checkpoint(_densified(points, edges, stable, densification))
     inside = checkpoint(induced(edges, stable))
     scores = checkpoint(flowrank(inside, stable, r))
-    core = checkpoint(select_core(scores, core_frac, auto, points.count() if not auto else None).select("id"))
-    edges = checkpoint(_densified(points, edges, core, second_densification))
-    own = checkpoint(consensus_core(edges, points, core, core, starting_resolution, seeds))
+    core = checkpoint(select_core(scores, core_frac, auto, points.count()).select("id"))
+    return confirmed_layers(points, inside, stable, core, starting_resolution, second_densification, seeds), edges
+
+
+def confirmed_layers(points: DataFrame, inside: DataFrame, stable: DataFrame, core: DataFrame, resolution: float = 1.5, densification: bool | str = False, seeds: Sequence[int] = SEEDS, labels: DataFrame | None = None) -> DataFrame:
+    """layers(id, layer) of the stable core: 0 for the nodes of `core` that every seed's votes over the induced edges confirm, else 1.
+
+    labels(seed, id, label), if given, stand for the communities."""
+    own_points = points.join(stable.select("id"), "id", "left_semi")
+    graph = checkpoint(_densified(own_points, inside, core, densification))
+    own = checkpoint(consensus_core(graph, stable, core, core, resolution, seeds, labels))
     rest = complement(stable, own)
-    return checkpoint(own.withColumn("layer", F.lit(0)).unionByName(rest.withColumn("layer", F.lit(1)))), edges
+    return checkpoint(own.withColumn("layer", F.lit(0)).unionByName(rest.withColumn("layer", F.lit(1))))
 
 
 def choose_resolution(edges: DataFrame, nodes: DataFrame, core: DataFrame, threshold: float = 0.95, start: float = 0.5, step: float = 0.25, most: float = 5.0, seeds: Sequence[int] = SEEDS) -> float:

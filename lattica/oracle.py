@@ -76,7 +76,7 @@ ws AS MATERIALIZED (SELECT far.src, far.dst, exp(-(dist - rho) / ((lo + hi) / 2)
 def _visits(seeds: str, name: str) -> str:
     out = f", {name}0 AS (SELECT id AS seed, id AS node, 1.0::DOUBLE AS p FROM ({seeds}))"
     for t in range(1, 6):
-        out += f", {name}{t} AS MATERIALIZED (SELECT v.seed, w.dst AS node, sum(v.p * w.w) AS p FROM {name}{t - 1} v JOIN w ON w.src = v.node WHERE v.p > 1e-4 GROUP BY v.seed, w.dst)"
+        out += f", {name}{t} AS MATERIALIZED (SELECT v.seed, w.dst AS node, sum(v.p * w.w) AS p FROM {name}{t - 1} v JOIN w ON w.src = v.node WHERE round(v.p, 12) > 1e-4 GROUP BY v.seed, w.dst)"
     return out + f", {name} AS MATERIALIZED (SELECT seed, node, sum(p) AS visits FROM (" + " UNION ALL ".join(f"SELECT * FROM {name}{t}" for t in range(1, 6)) + ") GROUP BY seed, node)"
 
 
@@ -93,6 +93,36 @@ tail AS (SELECT rank, n, CASE WHEN rank = floor(0.05 * n) + 1 THEN 0 ELSE rel EN
 flat AS (SELECT rank, n, sum(rel) OVER (ORDER BY rank ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50 AS mean FROM tail),
 cums AS (SELECT rank, score, n, sum(score) OVER (ORDER BY rank) AS cum, sum(score) OVER () AS total FROM ranked)"""
 
+#: Diffusion of all 50 steps, every one of which may be the last, and its check every fifth step.
+_LONG = _F
+for _t in range(6, 51):
+    _LONG += f""", f{_t} AS MATERIALIZED (SELECT * FROM f0 UNION ALL SELECT id, cls, sum(s) FROM (
+  SELECT p.row AS id, f.cls, 0.1 * p.w * f.score AS s FROM p JOIN f{_t - 1} f ON f.id = p.col WHERE p.row NOT IN (SELECT id FROM core)
+  UNION ALL SELECT id, cls, 0.9 * score FROM f{_t - 1} WHERE id NOT IN (SELECT id FROM core)) GROUP BY id, cls)"""
+_LONG += ", moved AS (" + " UNION ALL ".join(f"SELECT {t} AS t, max(abs(coalesce(a.score, 0) - coalesce(b.score, 0))) AS delta FROM f{t} a FULL JOIN f{t - 1} b ON a.id = b.id AND a.cls = b.cls" for t in range(5, 51, 5)) + ")"
+_LONG += ", last AS (SELECT coalesce(min(t) FILTER (delta < 1e-5), 50) AS t FROM moved)"
+_PR_ALL = _PR
+for _t in range(11, 41):
+    _PR_ALL += f", r{_t} AS MATERIALIZED (SELECT pts.id, 0.85 * coalesce(sum(w.w * r.s), 0) + 0.15::DOUBLE / (SELECT count(*) FROM pts) AS s FROM pts LEFT JOIN w ON w.dst = pts.id LEFT JOIN r{_t - 1} r ON r.id = w.src GROUP BY pts.id)"
+_PR_ALL += ", moved AS (" + " UNION ALL ".join(f"SELECT {t} AS t, sum(abs(a.s - b.s)) AS delta FROM r{t} a JOIN r{t - 1} b USING (id)" for t in range(1, 41)) + "), last AS (SELECT min(t) AS t FROM moved WHERE delta < 1e-6 * (SELECT count(*) FROM pts))"
+#: Three made labellings of the ranked fifth, voting over the edges that the top three fifths induce.
+_FINE = _CORE + """, few AS (SELECT id FROM ranked WHERE rank <= floor(0.2 * n)),
+ins AS MATERIALIZED (SELECT src, dst FROM knn WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
+iod AS (SELECT src, count(*) AS deg FROM ins GROUP BY src),
+many AS (SELECT s.seed, id, CASE WHEN s.seed > 0 AND id % (9 + 2 * s.seed) = 0 THEN 1 - label ELSE label END AS label FROM lab JOIN few USING (id), range(0, 3) s(seed)),
+won AS (SELECT l.seed, e.src AS id FROM ins e JOIN many l ON l.id = e.dst JOIN iod ON iod.src = e.src WHERE e.src IN (SELECT id FROM few) GROUP BY l.seed, e.src, l.label HAVING count(*) > 0.5 * max(iod.deg)),
+kept AS (SELECT id FROM won GROUP BY id HAVING count(DISTINCT seed) = 3)"""
+#: The core's labels as anchors: pulls by the kernel over the distances to each label's mean, whose sum is a tenth of the core.
+_PULLS = _CORE + """, cells AS (SELECT label AS aid, unnest(range(0, len(f))) AS pos, unnest(f) AS v FROM pts WHERE id IN (SELECT id FROM core)),
+mean_ AS (SELECT aid, list(m ORDER BY pos) AS f FROM (SELECT aid, pos, avg(v) AS m FROM cells GROUP BY aid, pos) GROUP BY aid),
+far AS MATERIALIZED (SELECT a.label AS aid, a.id, sqrt(""" + _D2 + """) AS dist FROM pts a JOIN mean_ b ON b.aid = a.label WHERE a.id IN (SELECT id FROM core)),
+goal AS MATERIALIZED (SELECT aid, list_sort(list(dist)) AS ds, min(dist) AS rho, 0.1 * (SELECT count(*) FROM core) AS target FROM far GROUP BY aid),
+bis(t, aid, lo, hi) AS (SELECT 0, aid, 1e-8::DOUBLE, 1e5::DOUBLE FROM goal UNION ALL
+  SELECT t + 1, aid, CASE WHEN s > target THEN lo ELSE mid END, CASE WHEN s > target THEN mid ELSE hi END FROM (
+    SELECT b.t, b.aid, b.lo, b.hi, (b.lo + b.hi) / 2 AS mid, g.target, list_sum(list_transform(g.ds, lambda x: exp(-(x - g.rho) / ((b.lo + b.hi) / 2)))) AS s
+    FROM bis b JOIN goal g USING (aid) WHERE b.t < 64)),
+spot AS (SELECT label AS aid, avg(f[1]) AS ax, avg(f[2]) AS ay FROM pts WHERE id IN (SELECT id FROM core) GROUP BY label)"""
+
 
 def _q(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
@@ -152,9 +182,9 @@ SQL = {
         "SELECT src, dst, pos FROM knn UNION ALL SELECT i.src, i.dst, (row_number() OVER (PARTITION BY i.src ORDER BY i.pos) + 20)::INT FROM inner_ i WHERE NOT EXISTS (SELECT 1 FROM knn k WHERE k.src = i.src AND k.dst = i.dst)",
         True,
     ),
-    "rw_visits": _q(_CORE + _visits("SELECT id FROM core WHERE id % 10 = 0", "z"), "SELECT seed, node, round(visits, 10) AS visits FROM z", True),
+    "rw_visits": _q(_CORE + _visits("SELECT id FROM core", "z"), "SELECT seed, node, round(visits, 10) AS visits FROM z", True),
     "top_per_row": _q(
-        _CORE + _visits("SELECT id FROM core WHERE id % 10 = 0", "z"),
+        _CORE + _visits("SELECT id FROM core", "z"),
         "SELECT seed, node FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY round(visits, 10) DESC, node) AS k FROM z WHERE round(visits, 10) <> 0) WHERE k <= 5",
         True,
     ),
@@ -174,4 +204,10 @@ FROM z JOIN thin ON thin.id = z.seed WHERE z.node <> z.seed AND visits > 0 AND n
         "SELECT round(a - 0.05 * (c - a), 9) AS x0, round(c + 0.05 * (c - a), 9) AS x1, round(e - 0.05 * (g - e), 9) AS y0, round(g + 0.05 * (g - e), 9) AS y1 FROM b",
     ),
     "trace_summary": _q(_LAYERS, "SELECT round, label, count(*) AS n FROM shown JOIN pts USING (id) GROUP BY round, label", True),
+    "pagerank_tolerance": _q(_PR_ALL, "SELECT id, round(s, 9) AS score FROM (" + " UNION ALL ".join(f"SELECT {t} AS t, id, s FROM r{t}" for t in range(1, 41)) + ") JOIN last USING (t)"),
+    "diffusion_tolerance": _q(_LONG, "SELECT id, cls::INT AS cls, round(score, 10) AS score FROM (" + " UNION ALL ".join(f"SELECT {t} AS t, id, cls, score FROM f{t}" for t in range(5, 51, 5)) + ") JOIN last USING (t)", True),
+    "diffusion_snapshots": _q(_F, " UNION ALL ".join(f"SELECT {t}::INT AS t, id, cls::INT AS cls, round(score, 10) AS score FROM f{t}" for t in (0, 2, 4, 5)), True),
+    "fine_grained_vote": _q(_FINE, "SELECT id, CASE WHEN id IN (SELECT id FROM kept) THEN 0 ELSE 1 END::INT AS layer FROM core", True),
+    "anchor_pulls": _q(_PULLS, "SELECT far.id, round(ax, 9) AS ax, round(ay, 9) AS ay, round(exp(-(dist - rho) / ((lo + hi) / 2)), 8) AS w FROM far JOIN goal USING (aid) JOIN spot USING (aid) JOIN bis ON bis.aid = far.aid AND bis.t = 64", True),
+    "out_adjacency": _q(_KNN, "SELECT src AS row, dst AS col, count(*)::DOUBLE AS w FROM knn GROUP BY ALL"),
 }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lineage import checkpoint
+from .functions.vectors import squared_distance
 from .operators import community, densify, diffusion, graph, layout, ranking, selection
 from .plans import layered_map
 from .plans.config import Config
@@ -133,6 +134,15 @@ def pagerank(spark, d):
     return ranking.pagerank(e, p, tol=None, max_iter=10).select("id", F.round("score", 9).alias("score"))
 
 
+def pagerank_tolerance(spark, d):
+    p, e = _edges(spark, d)
+    return ranking.pagerank(e, p).select("id", F.round("score", 9).alias("score"))
+
+
+def out_adjacency(spark, d):
+    return graph.adjacency(_edges(spark, d)[1], "out")
+
+
 def indegree_rank(spark, d):
     p, e = _edges(spark, d)
     return ranking.indegree_rank(e, p)
@@ -166,13 +176,23 @@ def core_self_check(spark, d):
     return community.recursive_majority(e, labels, core, p.count()).select("id", "label")
 
 
-def consensus_intersection(spark, d):
-    p, e, core, labels = _labelled(spark, d)
+def _turned(labels):
+    """Three deterministic labellings that stand for three seeds: the label, and it with every 11th or 13th id turned."""
     seeds = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed")
-    # Three deterministic labellings stand for three seeds: the label, and it with every 11th or 13th id turned.
     turned = F.when(F.col("seed") == 0, F.col("label")).when(F.col("id") % (9 + 2 * F.col("seed")) == 0, 1 - F.col("label")).otherwise(F.col("label"))
-    many = labels.select(seeds, "id", "label").select("seed", "id", turned.alias("label"))
-    return community.consensus(community.recursive_majority(e, many, core, p.count()), 3)
+    return labels.select(seeds, "id", "label").select("seed", "id", turned.alias("label"))
+
+
+def consensus_intersection(spark, d):
+    p, e, core, labels = _labelled(spark, d)
+    return community.consensus(community.recursive_majority(e, _turned(labels), core, p.count()), 3)
+
+
+def fine_grained_vote(spark, d):
+    p, e, s = _scored(spark, d)
+    stable, few = (checkpoint(selection.select_core(s, share).select("id")) for share in (WIDE, FRAC))
+    labels = _turned(p.join(few, "id", "left_semi").select("id", "label"))
+    return community.confirmed_layers(p, checkpoint(graph.induced(e, stable)), stable, few, seeds=(0, 1, 2), labels=labels)
 
 
 def rw_normalized(spark, d):
@@ -192,6 +212,16 @@ def diffusion_5(spark, d):
     return _diffused(spark, d)[2].select("id", "cls", F.round("score", 10).alias("score"))
 
 
+def diffusion_tolerance(spark, d):
+    _, e, _, labels = _labelled(spark, d)
+    return diffusion.diffuse(diffusion.normalize(graph.adjacency(e), "sym"), labels, 0.1).select("id", "cls", F.round("score", 10).alias("score"))
+
+
+def diffusion_snapshots(spark, d):
+    _, e, _, labels = _labelled(spark, d)
+    return diffusion.diffuse(diffusion.normalize(graph.adjacency(e), "sym"), labels, 0.1, 5, 0.0, save_every=2).select("t", "id", "cls", F.round("score", 10).alias("score"))
+
+
 def hard_labels(spark, d):
     p, _, found = _diffused(spark, d)
     return diffusion.hard_labels(found, p)
@@ -296,6 +326,19 @@ def gmm_anchors(spark, d):
     return layout.find_anchors(p, e, core, "smoothed", RESOLUTION)
 
 
+def gmm_anchors_default(spark, d):
+    p, e, core = _cored(spark, d)
+    return layout.find_anchors(p, e, core, "default", RESOLUTION)
+
+
+def anchor_pulls(spark, d):
+    p, _, core, labels = _labelled(spark, d)
+    own = labels.withColumnRenamed("label", "aid").join(p.select("id", "features"), "id")
+    far = F.sqrt(squared_distance(F.col("features"), F.col("mean")))
+    anchors = checkpoint(own.join(layout.anchor_means(own), "aid").select("aid", "id", far.alias("dist"), F.lit(None).cast("double").alias("prob")))
+    return layout.anchor_edges(anchors, _flat(p)).select("id", *[F.round(c, r).alias(c) for c, r in (("ax", 9), ("ay", 9), ("w", 8))])
+
+
 def cluster_core(spark, d):
     p, e, core = _cored(spark, d)
     return community.cluster_core(p, e, core, RESOLUTION)
@@ -303,7 +346,7 @@ def cluster_core(spark, d):
 
 def choose_resolution(spark, d):
     p, e, core = _cored(spark, d)
-    found = community.choose_resolution(e, p, core, start=RESOLUTION, most=1.5, seeds=(0, 1, 2))
+    found = community.choose_resolution(e, p, core, start=RESOLUTION)
     return spark.range(1).select(F.lit(found).alias("resolution"))
 
 
@@ -312,7 +355,14 @@ def cutoff_knee(spark, d):
 
 
 def knn_lsh(spark, d):
-    return graph.knn_graph(points(spark, d), Q, method="lsh", tables=16, width=5).select("src", "dst", "pos")
+    return graph.knn_graph(points(spark, d), Q, method="lsh").select("src", "dst", "pos")
+
+
+def knn_lsh_recall(spark, d):
+    """The share of the exact graph's edges that the approximate one has, with buckets of about 64 points."""
+    p, exact = _edges(spark, d)
+    found = graph.knn_graph(p, Q, method="lsh", occupancy=64)
+    return exact.join(found.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
 def top_per_row(spark, d):
@@ -342,7 +392,7 @@ def full_pipeline(spark, d):
 
 
 def anchored_layout(spark, d):
-    return layered_map.LayeredMap(_model(spark, d), fast_view=False, epochs=100).layout_
+    return layered_map.LayeredMap(_model(spark, d), fast_view=False).layout_
 
 
 _ALL = (
@@ -352,6 +402,7 @@ _ALL = (
     rw_normalized, sym_normalized, diffusion_5, hard_labels, conf_argmax, conf_margin, conf_entropy, layer_ntile, densify_knn_edges, rw_visits,
     densify_rw_edges, heat_kernel_weights, epochs_per_sample, cumulative_layers, anchor_means, axis_ranges, trace_summary, leiden_core, stable_core,
     fine_grained_core, gmm_anchors, full_pipeline, anchored_layout, cluster_core, choose_resolution, cutoff_knee, knn_lsh, top_per_row, pca_embedding, gaussian_pair,
+    knn_lsh_recall, pagerank_tolerance, out_adjacency, diffusion_tolerance, diffusion_snapshots, fine_grained_vote, gmm_anchors_default, anchor_pulls,
 )
 
 

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from test_graph import edges_of, nodes_of, points_of, rows
 
-from lattica.functions import kernels
-from lattica.operators import community
+from lattica.functions import kernels, lineage
+from lattica.operators import community, graph
 from lattica.plans.config import Config
 from lattica.plans.layered_map import LayeredMap, figure_spec
 from lattica.plans.model import CorePeriphery
@@ -65,6 +65,66 @@ def test_mixtures():
     assert np.allclose(p.sum(1), 1) and (p[:60].argmax(1) == p[0].argmax()).all()
 
 
+def test_a_larger_mixture_is_taken_for_any_fall_of_bic(monkeypatch):
+    class Fake:
+        def __init__(self, k, bic):
+            self.weights, self.k, self._bic = np.full(k, 1 / k), k, bic
+
+        def bic(self, n):
+            return self._bic
+
+    def chosen(*bics):
+        monkeypatch.setattr(kernels, "diagonal_mixture", lambda x, k, seed: Fake(k, bics[k - 1]))
+        return kernels.choose_mixture(np.zeros((200, 2)), 1, len(bics) + 1).k
+
+    assert chosen(765.1, 758.8) == 2  # lower, by less than growing on needs
+    assert chosen(765.1, 758.8, 1.0) == 2  # but the search ends there
+    assert chosen(765.1, 766.0, 1.0) == 1
+    assert chosen(765.1, 700.0, 650.0) == 3
+
+
+def test_fine_votes_are_on_the_induced_graph(spark):
+    # Node 0 has two neighbours in the core and three outside the stable core: a majority of the induced edges only.
+    e = edges_of(spark, [(0, 1), (0, 2), (0, 7), (0, 8), (0, 9), (1, 0), (1, 2), (2, 0), (2, 1), (3, 4), (4, 3), (4, 7), (7, 8)])
+    p = points_of(spark, [[float(i)] for i in range(10)])
+    stable, core = nodes_of(spark, 5), nodes_of(spark, 4)
+    labels = spark.createDataFrame([(s, i, 0 if i < 3 else 1) for s in (0, 1) for i in range(4)], "seed int, id long, label int")
+    found = community.confirmed_layers(p, graph.induced(e, stable), stable, core, seeds=(0, 1), labels=labels)
+    assert rows(found) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_voting_equals_a_plain_model(spark):
+    rng = np.random.default_rng(5)
+    n, pairs = 60, [(i, int(j)) for i in range(60) for j in rng.choice(60, 6, replace=False) if i != j]
+    out = {}
+    for i, j in pairs:
+        out.setdefault(i, []).append(j)
+    start = {i: int(i < 15) for i in range(30)}
+    mask, label, rounds, kept = set(range(30, 60)), dict(start), 0, {}
+    while True:
+        before, won = len(label), {}
+        for i in sorted(mask):
+            votes = [label[j] for j in out.get(i, ()) if j in label]
+            for c in set(votes):
+                if votes.count(c) > 0.5 * len(out[i]):
+                    won[i] = c
+        changed = {i for i, c in won.items() if label.get(i) != c}
+        label.update(won)
+        kept.update(won)
+        rounds += 1
+        if len(label) - before < int(0.005 * n) or before > 0.95 * n or not changed:
+            break
+    labels = spark.createDataFrame(list(start.items()), "id long, label int")
+    found = community.recursive_majority(edges_of(spark, pairs), labels, nodes_of(spark, n).where("id >= 30"), n)
+    assert rows(found.select("id", "label")) == sorted(kept.items()) and found.agg({"round": "max"}).first()[0] <= rounds
+
+
+def test_stages_are_timed(caplog):
+    with caplog.at_level("INFO", "lattica"), lineage.timed("ranking"):
+        pass
+    assert [r.message.split(":")[0] for r in caplog.records] == ["ranking", "ranking"]
+
+
 def test_descent_pulls_towards_anchors():
     xy = np.random.default_rng(0).normal(size=(6, 2)) * 2
     none = np.empty(0, int)
@@ -73,6 +133,8 @@ def test_descent_pulls_towards_anchors():
     args = (np.array([0, 1]), np.array([1, 2]), np.ones(2), np.arange(6), np.tile([3.0, 3.0], (6, 1)), np.ones(6))
     a, b = kernels.descend(xy, *args, seed=1, epochs=60), kernels.descend(xy, *args, seed=1, epochs=60)
     assert (a == b).all() and np.isfinite(a).all()
+    still = kernels.descend(xy, np.array([0]), np.array([1]), np.ones(1), none, np.empty((0, 2)), np.empty(0), seed=1, epochs=1)
+    assert (still == xy).all()  # the heaviest edge is due in epoch 1
     assert kernels.epochs_per_sample(np.array([2.0, 1.0, 0.0])).tolist() == [1.0, 2.0, -1.0]
 
 

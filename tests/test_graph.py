@@ -1,6 +1,10 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lattica.functions import lineage
 from lattica.operators import densify, diffusion, graph, ranking, selection
 
 
@@ -28,7 +32,7 @@ def rows(df):
 def test_knn_is_exact_and_breaks_ties_by_id(spark, method):
     x = np.random.default_rng(1).normal(size=(40, 3))
     x[7] = x[3]  # a repeated point: neither may drop the other, nor itself be a neighbour
-    found = graph.knn_graph(points_of(spark, x), 5, method=method, **({"block": 16} if method == "blocked" else {}))
+    found = graph.knn_graph(points_of(spark, x), 5, method=method, **({"query_bytes": 400, "index_bytes": 500} if method == "blocked" else {}))
     d = ((x[:, None] - x) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     want = sorted((i, int(j), k + 1) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(40), d[i]))[:5]))
@@ -41,11 +45,16 @@ def test_knn_of_few_points(spark):
     assert graph.knn_graph(points_of(spark, [[0.0]]).limit(0), 5).count() == 0
 
 
-def test_lsh_finds_most_neighbours(spark):
-    x = np.repeat(np.random.default_rng(2).normal(size=(20, 8)) * 4, 6, axis=0) + np.random.default_rng(3).normal(size=(120, 8)) * 0.1
+def test_lsh_finds_most_neighbours(spark, monkeypatch):
+    # Points around a far centre, a third of them close together, in buckets of a dozen that are cut into blocks of eight.
+    rng = np.random.default_rng(2)
+    x = 50 + np.vstack([rng.normal(size=(160, 8)) * 4, rng.normal(size=(80, 8)) * 0.1])
+    monkeypatch.setattr(graph, "BUCKET_ROWS", 8)
     want = {(r.src, r.dst) for r in graph.knn_graph(points_of(spark, x), 5).collect()}
-    got = {(r.src, r.dst) for r in graph.knn_graph(points_of(spark, x), 5, method="lsh", width=6).collect()}
-    assert len(want & got) / len(want) >= 0.9
+    found = graph.knn_graph(points_of(spark, x), 5, method="lsh", occupancy=16).collect()
+    assert len(want & {(r.src, r.dst) for r in found}) / len(want) >= 0.9
+    assert len({(r.src, r.dst) for r in found}) == len(found) == 5 * len(x)
+    assert graph.knn_graph(points_of(spark, x).limit(0), 5, method="lsh").count() == 0
 
 
 def test_drop_first_and_unknown_method(spark):
@@ -170,3 +179,28 @@ def test_walk_visits_and_densifiers(spark):
     p = points_of(spark, [[0.0], [1.0], [2.0], [9.0], [9.5], [5.0]])
     assert (0, 2) in rows(densify.densify_knn(p, e, nodes_of(spark, 3)).select("src", "dst"))
     assert densify.densify_rw(e, nodes_of(spark, 0)).count() == e.count()
+
+
+def test_ranks_and_cutoffs_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    score = np.concatenate([rng.exponential(size=300), np.zeros(40), np.full(100, 0.5)]).round(3)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(score)], "id long, score double").repartition(4)
+    conf = df.select("id", (F.col("id") % 3).cast("int").alias("cls"), F.col("score").alias("conf"))
+    whole = rows(selection.ranked(df).select("id", "rank")), selection.cutoffs(df).first(), rows(diffusion.bin_layers(conf, 5))
+    monkeypatch.setitem(selection.ordered.__kwdefaults__, "block_rows", 37)
+    monkeypatch.setattr(selection, "BLOCK_ROWS", 100)
+    assert (rows(selection.ranked(df).select("id", "rank")), selection.cutoffs(df).first(), rows(diffusion.bin_layers(conf, 5))) == whole
+    order = np.lexsort((np.arange(len(score)), -score))
+    assert [i for _, i in sorted((k, i) for i, k in whole[0])] == order.tolist()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "yarn"
+        _jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Context())
