@@ -31,7 +31,7 @@ def format_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Returns conv_id, block, n_turns, formatted (text of the block's turns), block_start (code points of the
     conversation before it) and examples: per assistant turn of the block turn, loss_start, loss_end (within the
-    conversation). Turns are ordered by (turn, role, text), nulls first; equal rows all stay. Null text and null role
+    conversation). Turns are ordered by (turn, role, text), nulls first, but a null turn stands right before turn 0; equal rows all stay. Null text and null role
     are empty; a null conv_id is a conversation of its own; an empty table gives no rows.
     """
     clean = turns.select(
@@ -72,8 +72,11 @@ def format_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def prefix_targets(blocks: DataFrame) -> DataFrame:
-    """One example per assistant turn: conv_id, block, turn, loss_start, loss_end, example_chars (closing mark included)."""
-    return blocks.select("conv_id", "block", F.inline("examples")).withColumn("example_chars", F.col("loss_end") + len(END))
+    """One example per assistant turn: conv_id, block, turn, loss_start, loss_end, example_chars (closing mark included) and target,
+    the reply as rendered (escaped), the only trainable part; its context is what the conversation's blocks hold before loss_start."""
+    target = lambda e: F.col("formatted").substr((e["loss_start"] - F.col("block_start") + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))
+    cut = F.transform("examples", lambda e: F.struct(e["turn"].alias("turn"), e["loss_start"].alias("loss_start"), e["loss_end"].alias("loss_end"), (e["loss_end"] + len(END)).alias("example_chars"), target(e).alias("target")))
+    return blocks.select("conv_id", "block", F.inline(cut))
 
 
 def example_texts(blocks: DataFrame) -> DataFrame:
@@ -91,16 +94,14 @@ def example_texts(blocks: DataFrame) -> DataFrame:
 
 
 def read_back(blocks: DataFrame) -> DataFrame:
-    """Parse the rendering: conv_id, block, turns (array of role, text) and replies (texts under the loss mask, unescaped)."""
+    """Parse the rendering: conv_id, block, formatted and turns (array of role, text)."""
     pieces = F.split("formatted", r"<\|im_start\|>", -1)  # nothing stands before the first mark
     segments = F.slice(pieces, 2, F.size(pieces))
     role = lambda s: unescape(F.replace(F.substring_index(s, "\n", 1), F.lit(BREAK), F.lit("\n")))
     text = lambda s: unescape(s.substr(F.length(F.substring_index(s, "\n", 1)) + 2, F.length(s) - F.length(F.substring_index(s, "\n", 1)) - 1 - len(END)))
-    reply = lambda e: unescape(F.col("formatted").substr((e["loss_start"] - F.col("block_start") + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int")))
     return blocks.select(
         "conv_id",
         "block",
         "formatted",
         F.transform(segments, lambda s: F.struct(role(s).alias("role"), text(s).alias("text"))).alias("turns"),
-        F.transform("examples", reply).alias("replies"),
     )

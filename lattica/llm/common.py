@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -14,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.lineage import checkpoint, shared_folder
 
 T = TypeVar("T")
 
@@ -37,17 +39,16 @@ def pattern() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; a temporary one only where none is set (tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lattica-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    """This application's folder under spark.checkpoint.dir, which all machines share."""
+    return shared_folder(spark.sparkContext)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has checkpointed and stored; results that were not written elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(path):
+        files.delete(found.getPath(), True)
 
 
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -111,3 +112,22 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+#: Groups cut into blocks that are broadcast; where there are more, a join finds them.
+FEW = 10_000
+
+
+def in_blocks(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+    """Rows with own, c, d, to be grouped by `keys`, c, d: groups of more than `block` rows are cut into blocks by a hash of `by`, so
+    that each two rows of a group meet where c, d are their blocks; c = d holds one block, c < d two. own is the row's block.
+
+    A row of a group of n blocks comes n times. `rows` is read twice, the first time for its keys only.
+    """
+    full = rows.groupBy(*keys).agg(F.count("*").alias("blocks")).where(F.col("blocks") > block)
+    full = checkpoint(full.withColumn("blocks", F.ceil(F.col("blocks") / block).cast("int")))
+    if full.count() <= FEW:
+        full = F.broadcast(full)
+    dealt = rows.join(full, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*rows.columns, "own", F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"))

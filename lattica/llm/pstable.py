@@ -2,7 +2,8 @@
 
 Normalised vectors with cosine c lie sqrt(2 - 2c) apart. In each of L tables a vector's bucket is the tuple of k
 quantised projections floor((a.v + b) / w). k follows the number of vectors, L the recall wanted for pairs that lie
-exactly at the threshold; closer pairs are found with higher probability. A pair is counted in the first table where it
+exactly at the threshold; closer pairs are found with higher probability. Buckets hold ids and sketches of 128 signs, not vectors:
+only the rows of a bucket that some sketch comes near to fetch theirs, for the cosines. A pair is counted in the first table where it
 meets, which both vectors' bucket keys tell, so counts need no list of pairs.
 """
 
@@ -15,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, per_batch
+from .common import checkpoint, in_blocks, per_batch, stored
 from .components import connected_components
 from .simhash import merge
 
 SEED = 42
 #: Quantisation step, chance to find a pair at the threshold, vectors that a bucket should hold by chance, rows of one block of a bucket.
 STEP, RECALL, OCCUPANCY, BLOCK = 2.0, 0.9995, 2000, 2048
-#: Full buckets that are broadcast; where there are more, a join finds them.
-FEW = 10_000
+#: Chance to lose a pair at the threshold by its sketch.
+MISS = 1e-6
 
 
 def collision(distance: float, step: float = STEP) -> float:
@@ -39,15 +40,57 @@ def plan(total: int, cosine: float, recall: float = RECALL, step: float = STEP,
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
 
 
+def _exact(x: np.ndarray) -> np.ndarray:
+    """Multiples of 2^-22: sums of their products with others are exact in double precision, so equal in whatever order they are added."""
+    return np.round(x * (1 << 22)) / (1 << 22)
+
+
 def bucket_keys(unit: np.ndarray, k: int, tables: int, step: float = STEP, seed: int = SEED) -> np.ndarray:
-    """Bucket key of each row in each table; vectors of another length have other projections."""
+    """Bucket key of each row in each table, the same in whatever batch a row comes; vectors of another length have other projections."""
     rng = np.random.default_rng([seed, unit.shape[1]])
-    cells = np.floor((unit @ rng.standard_normal((unit.shape[1], k * tables)) + rng.uniform(0, step, k * tables)) / step).astype(np.int64)
+    cells = np.floor((_exact(unit) @ _exact(rng.standard_normal((unit.shape[1], k * tables))) + _exact(rng.uniform(0, step, k * tables))) / step).astype(np.int64)
     odd = rng.integers(1, 1 << 62, k * tables) * 2 + 1
     mixed = (cells * odd).reshape(len(unit), tables, k).sum(2)
     return mixed ^ (mixed >> 29) ^ (unit.shape[1] * 0x9E3779B97F4A7)
 
 
+def sketches(unit: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The signs of 128 projections of each row, as two 64-bit integers."""
+    rng = np.random.default_rng([seed, unit.shape[1], 1])
+    signs = _exact(unit) @ _exact(rng.standard_normal((unit.shape[1], 128))) > 0
+    return np.packbits(signs, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def sketch_bound(cosine: float, miss: float = MISS) -> int:
+    """The fewest differing signs of 128 that a pair at the threshold exceeds with a chance of at most `miss`."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    rest, at = 1.0, 0
+    while at < 128:
+        rest -= math.comb(128, at) * p**at * (1 - p) ** (128 - at)
+        if rest <= miss:
+            break
+        at += 1
+    return at
+
+
+def promising(sketch: np.ndarray, right: np.ndarray | None, most: int) -> np.ndarray:
+    """Which rows have another one (of the other side of the mask `right`, if given) within `most` differing signs."""
+    found = np.zeros(len(sketch), bool)
+    left = np.arange(len(sketch)) if right is None else np.flatnonzero(~right)
+    other = left if right is None else np.flatnonzero(right)
+    own = np.arange(len(left))
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        far = np.bitwise_count(sketch[rows, None, 0] ^ sketch[None, other, 0])
+        far += np.bitwise_count(sketch[rows, None, 1] ^ sketch[None, other, 1])
+        near = far <= most
+        if right is None:
+            near[own[: len(rows)], own[at : at + len(rows)]] = False
+        found[rows] |= near.any(1)
+        found[other] |= near.any(0)
+    return found
+
+
 def normalised(rows: np.ndarray) -> np.ndarray:
     x = rows.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -97,52 +140,57 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     total = classes.count()
     k, tables = plan(total, cosine, recall)
 
-    def grouped(batch: pa.RecordBatch):
-        """The batch's vectors by length: index, raw matrix, keys."""
+    def grouped(batch: pa.RecordBatch, keys: bool = True):
+        """The batch's vectors by length: index, raw matrix, keys if asked for."""
         v = batch.column("v")
         sizes = np.diff(v.offsets.to_numpy())
         flat, starts = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             raw = np.stack([flat[starts[i] : starts[i] + size] for i in at])
-            yield at, raw, bucket_keys(normalised(raw), k, tables)
+            yield at, raw, bucket_keys(normalised(raw), k, tables) if keys else None
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = np.concatenate([x for _, _, x in grouped(batch)])
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(keys))), pa.array(keys.ravel())], ["t", "key"])
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {c: [] for c in ("t", "key", "rep", "n", "vec", "keys")}
-        rep, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n"))
+        out: dict[str, list[np.ndarray]] = {c: [] for c in ("t", "key", "rep", "s0", "s1")}
+        rep = batch.column("rep").to_numpy(zero_copy_only=False)
         for at, raw, keys in grouped(batch):
             out["t"].append(np.tile(np.arange(tables, dtype=np.int32), len(at)))
             out["key"].append(keys.ravel())
             out["rep"].append(np.repeat(rep[at], tables))
-            out["n"].append(np.repeat(n[at], tables))
-            out["vec"] += [x for row in raw.astype(kind) for x in [row.tobytes()] * tables]
-            out["keys"] += [x for row in keys for x in [row.tobytes()] * tables]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) if c not in ("vec", "keys") else pa.array(x, pa.binary()) for c, x in out.items()], list(out))
+            for c, x in zip(("s0", "s1"), sketches(normalised(raw)).T, strict=True):
+                out[c].append(np.repeat(x.view(np.int64), tables))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out.values()], list(out))
+
+    def sift(bucket: pa.Table) -> pa.Table:
+        """The rows of a bucket that another one's sketch comes near to."""
+        c, d = bucket.column("c")[0].as_py(), bucket.column("d")[0].as_py()
+        sketch = np.stack([bucket.column(x).to_numpy().astype(np.int64).view(np.uint64) for x in ("s0", "s1")], 1)
+        right = None if c == d else bucket.column("own").to_numpy() == d
+        return bucket.select(["t", "key", "c", "d", "own", "rep"]).filter(pa.array(promising(sketch, right, most)))
 
     def search(bucket: pa.Table) -> pa.Table:
         c, d = bucket.column("c")[0].as_py(), bucket.column("d")[0].as_py()
-        x = normalised(np.frombuffer(b"".join(bucket.column("vec").to_pylist()), kind).reshape(bucket.num_rows, -1)) if bucket.num_rows > 1 else np.zeros((1, 1))
-        keys = np.frombuffer(b"".join(bucket.column("keys").to_pylist()), np.int64).reshape(bucket.num_rows, -1)
+        raw = np.frombuffer(b"".join(bucket.column("vec").to_pylist()), kind).reshape(bucket.num_rows, -1)
+        x = normalised(raw)
         rep, weight = bucket.column("rep").to_numpy(), bucket.column("n").to_numpy()
         right = None if c == d else bucket.column("own").to_numpy() == d
-        links, label = block_links(x, keys, weight, right, bucket.column("t")[0].as_py(), cosine)
+        links, label = block_links(x, bucket_keys(x, k, tables), weight, right, bucket.column("t")[0].as_py(), cosine)
         at = np.flatnonzero((links > 0) | (label != np.arange(len(label))))
         return pa.table({"rep": rep[at], "links": links[at], "to": rep[label[at]]})
 
+    def as_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[bytes] = [b""] * batch.num_rows
+        for at, raw, _ in grouped(batch, False):
+            for i, row in zip(at, raw.astype(kind), strict=True):
+                out[i] = row.tobytes()
+        return pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(out, pa.binary())], ["rep", "n", "vec"])
+
     named = classes.where("rep is not null").select("rep", "n", "v")
-    full = named.select("v").mapInArrow(per_batch(keyed), "t int, key long").groupBy("t", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > block)
-    full = checkpoint(full.select("t", "key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
-    if full.count() <= FEW:
-        full = F.broadcast(full)
-    met = named.mapInArrow(per_batch(spread), "t int, key long, rep long, n long, vec binary, keys binary").join(full, ["t", "key"], "left")
-    met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "key", F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"), "own", "rep", "n", "vec", "keys")
-    found = checkpoint(met.groupBy("t", "key", "c", "d").applyInArrow(search, "rep long, links long, to long"))
+    most = sketch_bound(cosine)
+    met = in_blocks(named.select("rep", "v").mapInArrow(per_batch(keyed), "t int, key long, rep long, s0 long, s1 long"), ["t", "key"], "rep", block)
+    open_ = stored(met.groupBy("t", "key", "c", "d").applyInArrow(sift, "t int, key long, c int, d int, own int, rep long"))
+    carried = named.mapInArrow(per_batch(as_bytes), "rep long, n long, vec binary")
+    found = checkpoint(open_.join(carried, "rep").groupBy("t", "key", "c", "d").applyInArrow(search, "rep long, links long, to long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     of = classes.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")

@@ -27,21 +27,17 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    back = chat.read_back(chat.format_conversations(turns))
+    blocks = chat.format_conversations(turns)
+    back = chat.read_back(blocks)
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    parts = back.select(
-        "conv_id",
-        F.struct(
-            "block",
-            F.array_join(F.transform("turns", line), "").alias("turns"),
-            F.array_join("replies", "").alias("loss"),
-        ).alias("p"),
-        F.size("turns").alias("n"),
-        F.length("formatted").alias("chars"),
-    )
+    parts = back.select("conv_id", F.struct("block", F.array_join(F.transform("turns", line), "").alias("x")).alias("p"), F.size("turns").alias("n"), F.length("formatted").alias("chars"))
     whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
-    text = lambda name: F.array_join(F.transform("ps", lambda p: p[name]), "")
-    return whole.select("conv_id", "n_turns", F.sha2(text("turns"), 256).alias("turns_sha256"), F.length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    # The loss mask's texts from the examples, each example giving its own reply only.
+    replies = chat.prefix_targets(blocks).select("conv_id", F.struct("loss_start", chat.unescape(F.col("target")).alias("x")).alias("p"))
+    loss = replies.groupBy(F.col("conv_id").alias("of")).agg(F.sort_array(F.collect_list("p")).alias("qs"))
+    text = lambda name: F.coalesce(F.array_join(F.transform(name, lambda p: p["x"]), ""), F.lit(""))
+    both = whole.join(loss, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return both.select("conv_id", "n_turns", F.sha2(text("ps"), 256).alias("turns_sha256"), F.length(text("qs")).cast("long").alias("loss_chars"), F.sha2(text("qs"), 256).alias("loss_sha256"), "formatted_chars")
 
 
 OP2_SQL = r"""
@@ -87,8 +83,9 @@ def _op5_sql() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?\b",
+        "iban": r"\b(" + "|".join(rf"{c}\d\d( ?[A-Z\d]){{{n - 4}}}" for c, n in pii.IBAN_LENGTHS.items()) + r")\b",
         "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "secret": r"\b[A-Za-z0-9_]{20,}",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     at = f"substr({digits}, length({digits}) - i + 1, 1)::INT"
@@ -96,14 +93,16 @@ def _op5_sql() -> str:
     part = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     bare = "replace(m, ' ', '')"
     letters = f"list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
-    near = "lower(substr(text, greatest(start + 1 - 40, 1), least(start, 40)))"
+    near = "lower(substr(text, greatest(start + 1 - 40, 1), least(start, 40)) || ' ' || substr(text, start + length(m) + 1, 40))"
+    score = lambda kind: f"{pii.PRIOR[kind]} + CASE WHEN regexp_matches({near}, '\\b({pii.CONTEXT[kind]})') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches({near}, '\\b({pii.AGAINST})') THEN 0.2 ELSE 0 END >= 0.5"
     kept = {
         "email": "true",
         "ip": rf"regexp_full_match(m, '{part}\.{part}\.{part}\.{part}')",
         "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce({letters}, lambda a, v: (CASE WHEN v > 9 THEN a * 100 ELSE a * 10 END + v) % 97, 0) = 1",
-        "ssn": rf"m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000' AND regexp_matches({near}, '\b({pii.CONTEXT['ssn']})')",
+        "iban": f"{score('iban')} AND list_reduce({letters}, lambda a, v: (CASE WHEN v > 9 THEN a * 100 ELSE a * 10 END + v) % 97, 0) = 1",
+        "ssn": rf"m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000' AND {score('ssn')}",
+        "secret": f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND {score('secret')}",
     }
     each = []
     for n, kind in enumerate(pii.PATTERNS):

@@ -3,7 +3,10 @@
 A small tree, fitted on a bounded sample, cuts the fingerprints into shards: each node has a vantage point and cuts by
 Hamming distance to it into shells wider than the radius. Every fingerprint has one home shard; it also visits the
 shards that the triangle inequality cannot exclude, in one direction at the node where homes part. So each pair within
-the radius meets in the home shard of one of the two. Inside a shard two more vantage points prune the comparisons.
+the radius meets in the home shard of one of the two. A shard with many visits is cut further: of radius + 1 bands of bits
+two fingerprints within the radius agree on one, so the shard is dealt out once for each band, by as many of its bits as keep
+the parts' sizes alike at every size of the table. What equal bits still heap up is cut into blocks, each pair of which is
+a task. Inside a part vantage points prune the comparisons again.
 The sample shapes the shards only: which pairs are found does not depend on it.
 """
 
@@ -18,16 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, per_batch
+from .common import checkpoint, in_blocks, per_batch
 from .components import connected_components
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Fingerprints from which the tree is fitted, at most.
 SAMPLE = 8192
-#: Fingerprints that a shard should be home to; larger homes that no vantage point divides are cut into blocks.
-SHARD_ROWS = 2048
-MAX_SHARDS_SHARE = 1 / 48
-MAX_DEPTH = 4
+#: Visits that a part of a shard should hold, about; rows beyond which it is cut into blocks.
+SHARD_ROWS, BLOCK = 2048, 8192
+MAX_DEPTH = 2
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH, seed: int = SEED) -> list[int]:
@@ -72,10 +74,11 @@ def hamming(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 @dataclass
 class Node:
-    """A leaf has a shard number and its blocks; an inner node a vantage point, and for each child its shell's last distance."""
+    """A leaf has a shard number and the bits of a band by which it is dealt out; an inner node a vantage point, and for each child
+    its shell's last distance."""
 
     shard: int = -1
-    blocks: int = 1
+    bits: int = 0
     vantage: int = 0
     last: tuple[int, ...] = ()
     children: tuple["Node", ...] = ()
@@ -84,8 +87,7 @@ class Node:
 def fit_tree(sample: np.ndarray, total: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> Node:
     """The tree for `total` fingerprints of which `sample` is a random part."""
     rng = np.random.default_rng(seed)
-    share = max(shard_rows / max(total, 1), MAX_SHARDS_SHARE)
-    numbers = iter(range(1 << 30))
+    share, leaves = shard_rows / max(total, 1), []
 
     def grow(own: np.ndarray, depth: int) -> Node:
         part = len(own) / max(len(sample), 1)
@@ -114,30 +116,35 @@ def fit_tree(sample: np.ndarray, total: int, radius: int = RADIUS, shard_rows: i
                     children.append(grow(own[(d > low) & (d <= high)], depth + 1))
                     low = high
                 return Node(vantage=best[1], last=tuple(best[2]), children=tuple(children))
-        return Node(shard=next(numbers), blocks=max(1, round(part * total / (4 * max(shard_rows, share * total)))))
+        leaves.append(Node(shard=len(leaves)))
+        return leaves[-1]
 
-    return grow(sample, 0)
+    root = grow(sample, 0)
+    visits = np.bincount(route(root, sample, radius)[1] >> 32, minlength=len(leaves)) * (total / max(len(sample), 1))
+    for leaf in leaves:
+        parts = visits[leaf.shard] / shard_rows
+        leaf.bits = min(int(np.ceil(np.log2(parts))), 64 // (radius + 1), 24) if parts > 1 else 0
+    return root
 
 
 def route(root: Node, codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every visit: index into codes, shard key, whether the shard is its home."""
+    """For every visit: index into codes, key of the shard's part, whether the shard is its home."""
     index, keys, homes = [], [], []
 
-    def put(leaf: Node, block: int, at: np.ndarray, home: bool) -> None:
-        if len(at):
+    def put(leaf: Node, at: np.ndarray, home: bool) -> None:
+        width = np.uint64(64 // (radius + 1))
+        for band in range(radius + 1 if leaf.bits else 1):
+            value = codes[at] >> np.uint64(band) * width & np.uint64((1 << leaf.bits) - 1)
             index.append(at)
-            keys.append(np.full(len(at), leaf.shard * 65536 + block, np.int64))
+            keys.append((leaf.shard << 32 | band << 24) + value.astype(np.int64))
             homes.append(np.full(len(at), home))
 
     def visit(node: Node, own: np.ndarray, guests: np.ndarray) -> None:
         if not len(own) and not len(guests):
             return
         if not node.children:
-            block = (codes[own] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(node.blocks)
-            for b in range(node.blocks):
-                put(node, b, own[block == b], True)
-                put(node, b, own[block > b], False)
-                put(node, b, guests, False)
+            put(node, own, True)
+            put(node, guests, False)
             return
         d, g = (hamming(codes[x], np.uint64(node.vantage)).astype(np.int16) for x in (own, guests))
         low = -1
@@ -191,19 +198,25 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def shard_links(codes: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (as index pairs) of the links between the shard's homes and all that visit it."""
-    at = np.flatnonzero(home)
+def shard_links(codes: np.ndarray, home: np.ndarray, radius: int = RADIUS, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as index pairs) of the links between a part's homes and all that visit it.
+
+    right: None, or a mask, and rows outside are compared with rows inside only.
+    """
     label = np.arange(len(codes))
-    if len(at):
-        pivots = [codes[at[0]], ~codes[at[len(at) // 2]] ^ np.uint64(0x5555555555555555), codes[at[-1]] ^ np.uint64(0x00FF00FF00FF00FF)]
-        for a, b in _hits(codes[at], codes, radius, pivots):
-            merge(label, at[a], b)
-    moved = np.flatnonzero(label != np.arange(len(codes)))
+    every = np.arange(len(codes))
+    sides = [(every, every)] if right is None else [(every[~right], every[right]), (every[right], every[~right])]
+    for mine, others in sides:
+        at = mine[home[mine]]
+        if len(at) and len(others):
+            pivots = [codes[at[0]], ~codes[at[len(at) // 2]] ^ np.uint64(0x5555555555555555), codes[at[-1]] ^ np.uint64(0x00FF00FF00FF00FF)]
+            for a, b in _hits(codes[at], codes[others], radius, pivots):
+                merge(label, at[a], others[b])
+    moved = np.flatnonzero(label != every)
     return moved, label[moved]
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
     """Distinct (rep, fp) rows to the edges (a, b), between reps, of a spanning forest of all links within the radius."""
     total = fps.count()
     order = F.xxhash64("fp", F.lit(SEED))
@@ -217,12 +230,13 @@ def linked(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[index]), pa.array(fp[index]), pa.array(homes)], ["shard", "rep", "fp", "home"])
 
     def search(shard: pa.Table) -> pa.Table:
-        rep = shard.column("rep").to_numpy()
-        a, b = shard_links(shard.column("fp").to_numpy().astype(np.int64).view(np.uint64), shard.column("home").to_numpy(), radius)
+        rep, d = shard.column("rep").to_numpy(), shard.column("d")[0].as_py()
+        right = None if shard.column("c")[0].as_py() == d else shard.column("own").to_numpy() == d
+        a, b = shard_links(shard.column("fp").to_numpy().astype(np.int64).view(np.uint64), shard.column("home").to_numpy(), radius, right)
         return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
 
     visits = fps.select("rep", "fp").mapInArrow(per_batch(dealt), "shard long, rep long, fp long, home boolean")
-    return visits.groupBy("shard").applyInArrow(search, "a long, b long")
+    return in_blocks(visits, ["shard"], "rep", block).groupBy("shard", "c", "d").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:

@@ -80,7 +80,8 @@ def test_every_pair_meets_and_is_found(shard_rows):
     codes = clustered(1600, 2)
     tree = simhash.fit_tree(codes[::3], len(codes), shard_rows=shard_rows)
     index, keys, homes = simhash.route(tree, codes)
-    assert (np.bincount(index[homes], minlength=len(codes)) == 1).all()
+    shards = np.unique(np.stack([index[homes], keys[homes] >> 32], 1), axis=0)
+    assert (shards[:, 0] == np.arange(len(codes))).all()  # one home shard each, in one part or one of each band
     found = []
     for key in np.unique(keys):
         here = keys == key
@@ -92,6 +93,36 @@ def test_every_pair_meets_and_is_found(shard_rows):
         assert len(np.unique(keys)) > 8
 
 
+def test_parts_do_not_grow_with_the_table():
+    rng = np.random.default_rng(6)
+    for total in (50_000, 500_000, 5_000_000):
+        codes = rng.integers(0, 1 << 63, 50_000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 50_000, np.uint64)
+        tree = simhash.fit_tree(codes[:8192], total)
+        rows, visits = {}, 0
+        for at in range(0, len(codes), 10_000):  # a share of the table stands for it
+            part = np.unique(simhash.route(tree, codes[at : at + 10_000])[1], return_counts=True)
+            visits += int(part[1].sum())
+            for key, n in zip(*(x.tolist() for x in part), strict=True):
+                rows[key] = rows.get(key, 0) + n
+        largest = max(rows.values()) * total / len(codes)
+        noise = 1 + 4 / np.sqrt(max(rows.values()))
+        assert largest <= 6 * simhash.SHARD_ROWS * noise and visits <= 40 * len(codes)  # bits lean to the vantage points
+
+
+def test_hot_parts_are_cut_into_blocks(spark):
+    codes = clustered(400, 8)
+    fps = spark.createDataFrame([(i, int(c.view(np.int64))) for i, c in enumerate(codes)], "rep long, fp long")
+    links = [(i, int(j)) for i in range(len(codes)) for j in np.flatnonzero(simhash.hamming(codes, codes[i]) <= 4)]
+    for shard_rows, block in ((32, 20), (10**6, 50)):
+        found = [(r.a, r.b) for r in simhash.linked(fps, shard_rows=shard_rows, block=block).collect()]
+        assert groups(len(codes), found) == groups(len(codes), links)
+
+
+def test_fingerprints_of_a_very_long_text():
+    text = " ".join(WORDS[k % len(WORDS)] + str(k % 1000) for k in range(300_000))
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def documents(seed=3):
     rng = np.random.default_rng(seed)
     texts = [" ".join(rng.choice(WORDS, 120)) for _ in range(30)]
@@ -188,6 +219,31 @@ def test_links_counts_and_components(spark, kind):
     assert pstable.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_odd_shapes(spark):
+    rng = np.random.default_rng(7)
+    long = rng.normal(size=3000)
+    rows = [(1, long.tolist()), (2, (long + rng.normal(size=3000) * 0.01).tolist()), (3, [1.0]), (4, [2.0]), (5, [-1.0]), (None, [1.0]), (3, [1.0]), (None, None)]
+    got = pstable.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None)
+    assert found == [(1, 1, 1, True), (2, 1, 1, False), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False), (5, 0, 5, True)]
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None) in ([(0, None, False), (3, 3, False)], [(3, 3, False), (0, None, False)])
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(9)
+    a = pstable.normalised(rng.normal(size=(20_000, 64)))
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = pstable.normalised(0.9 * a + np.sqrt(1 - 0.81) * pstable.normalised(b))
+    far = np.bitwise_count(pstable.sketches(a) ^ pstable.sketches(b)).sum(1)
+    most = pstable.sketch_bound(0.9)
+    assert far.max() <= most < 50
+    other = np.bitwise_count(pstable.sketches(a) ^ pstable.sketches(a[::-1])).sum(1)
+    assert (other <= most).mean() < 0.01  # and most others are sifted out
+    # Keys and sketches of a row don't depend on the rows beside it.
+    assert (pstable.bucket_keys(a[:100], 3, 20)[17] == pstable.bucket_keys(a[17:18], 3, 20)[0]).all()
+
+
 def test_plan_reaches_the_recall():
     for n in (10, 10**5, 10**9):
         k, tables = pstable.plan(n, 0.9)
