@@ -80,6 +80,22 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTE
             at = stop
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 2 * BYTES) -> Iterator[None]:
+    """Arrow batches of at most about `size` bytes for jobs that run in this context: an executor holds each in its JVM and in its worker,
+    beside whatever its heap has grown to."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 _resident: dict = {}
 
 
@@ -109,6 +125,14 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[
     return lambda batches: map(function, sliced(batches))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

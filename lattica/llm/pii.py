@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: The length of each country's account numbers.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
@@ -128,9 +130,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, ou
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Replace each span by its kind in brackets; where spans overlap, the one that starts first stands for them all. Other columns stay."""
-    spans = "pii_spans"
-    while spans.lower() in (c.lower() for c in docs.columns):
-        spans += "_"
+    spans = unused(docs, "pii_spans")
     found = find_pii(docs, text_col, threshold, spans)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col(text_col)

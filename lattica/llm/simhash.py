@@ -58,14 +58,17 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row; null text counts as empty, whose fingerprint is zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and a column of longs to keep, for every row; null text counts as empty, whose
+    fingerprint is zero."""
+    kept = [keep] if keep else []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *kept])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(run), "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
+    return rows.mapInArrow(per_batch(run), ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in kept)]))
 
 
 def hamming(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -257,15 +260,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, similarity: float | None = None) -> DataFrame:
     """Keep the document with the smallest id of each component, once if its row repeats; rows with a null id all stay.
 
-    With a similarity, links are pairs of texts whose sets of `width`-word shingles have that Jaccard similarity or more,
-    and rows go by text, so different texts under one id stay apart; without one, links are fingerprints within `radius`.
+    With a similarity, links are pairs of texts whose sets of `width`-word shingles have that Jaccard similarity or more;
+    without one, links are fingerprints within `radius`. Rows go by id and text, so unlike texts under one id stay apart.
     """
+    from .shingles import drop_components, drop_similar  # they use this module's hashes
+
     if similarity is not None:
-        from . import shingles  # it uses this module's hashes
-
-        return shingles.drop_similar(docs, id_col, text_col, width, similarity)
-    found = checkpoint(near_duplicates(docs, id_col, text_col, radius, width))
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    once, several = keep.where("__n = 1").select("__id"), keep.where("__n > 1").select("__id")
-    match = lambda ids: docs.join(ids, docs[id_col] == ids["__id"], "left_semi")
-    return match(once).unionByName(match(several).dropDuplicates([id_col])).unionByName(docs.where(F.col(id_col).isNull()))
+        return drop_similar(docs, id_col, text_col, width, similarity)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("node"))
+    own = checkpoint(fingerprints(named, "id", "text", width, "node").where("doc_id is not null").groupBy(F.col("doc_id").alias("id"), "node", "fp").agg(F.count("*").alias("rows")))
+    reps = checkpoint(own.select(F.col("fp").alias("rep"), "fp").distinct())
+    found = connected_components(linked(reps, radius))
+    of = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return drop_components(docs, id_col, text_col, own.join(of, "fp").select("id", "node", "rows", "component"))

@@ -140,6 +140,21 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
+def slope(f: np.ndarray, n_pos: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, with logistic loss, of scores f of which the first n_pos are positives', and its slope by each score;
+    where the risk's clean part is negative, the slope that raises this part alone."""
+    p, negative = 1 / (1 + np.exp(-f)), np.logaddexp(0, f)  # loss of calling a text toxic if it is clean
+    clean = negative[n_pos:].mean() - prior * negative[:n_pos].mean()
+    g, n = np.empty(len(f)), len(f)
+    if clean >= 0:  # the positives' two terms add up to a constant
+        g[:n_pos] = -prior / n_pos
+        g[n_pos:] = p[n_pos:] / (n - n_pos)
+    else:
+        g[:n_pos] = prior * p[:n_pos] / n_pos
+        g[n_pos:] = -p[n_pos:] / (n - n_pos)
+    return float(prior * np.logaddexp(0, -f[:n_pos]).mean() + max(clean, 0.0)), g
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, steps: int = STEPS, rate: float = RATE, sparsity: float = SPARSITY, screen: float = SCREEN) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss and an L1 proximal step; deterministic.
 
@@ -168,17 +183,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     for t in range(1, steps + 1):
         f = np.bincount(rows, w[cols], n) + b
-        f = np.clip(f, -30, 30)
-        p = 1 / (1 + np.exp(-f))
-        negative = np.logaddexp(0, f)  # loss of calling a text toxic if it is clean
-        clean = negative[n_pos:].mean() - prior * negative[:n_pos].mean()
-        g = np.empty(n)
-        if clean >= 0:  # the risk's slope: the positives' two terms add up to a constant
-            g[:n_pos] = -prior / n_pos
-            g[n_pos:] = p[n_pos:] / (n - n_pos)
-        else:
-            g[:n_pos] = prior * p[:n_pos] / n_pos
-            g[n_pos:] = -p[n_pos:] / (n - n_pos)
+        g = slope(np.clip(f, -30, 30), n_pos, prior)[1]
         gw, gb = np.bincount(cols, g[rows], d), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -217,9 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pos"), batch.column("unl"), pa.array(found, pa.binary())], ["id", "pos", "unl", "b"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    rows = sorted(picked.mapInArrow(run, "id long, pos int, unl int, b binary").collect(), key=lambda r: (r.id, bytes(r.b)))
-    pos = [np.frombuffer(bytes(r.b), np.int32) for r in rows if r.pos == 1]
-    unl = [np.frombuffer(bytes(r.b), np.int32) for r in rows if r.unl == 0]
+    found = picked.mapInArrow(run, "id long, pos int, unl int, b binary").toArrow().combine_chunks()
+    kinds = [found.column(c).to_numpy() for c in ("id", "pos", "unl")]
+    features = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("b").combine_chunks()] if found.num_rows else []
+    order = sorted(range(len(features)), key=lambda i: (kinds[0][i], features[i].tobytes()))  # rows come in any order
+    pos, unl = [features[i] for i in order if kinds[1][i] == 1], [features[i] for i in order if kinds[2][i] == 0]
     return fit_nnpu(pos, unl, float(prior))
 
 

@@ -1,5 +1,7 @@
 """SimHash, p-stable hashing, chroma fingerprints, toxicity and the pipeline, against brute force on small tables."""
 
+import math
+import os
 import re
 import zlib
 
@@ -8,9 +10,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import chroma, components, packing, pstable, simhash, toxicity
+from lattica.llm import chroma, components, packing, pstable, queries, simhash, toxicity
 from lattica.llm.common import pattern, tokenizer_path
 
+SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
 
 
@@ -392,6 +395,98 @@ def test_features_do_not_depend_on_slices(monkeypatch):
     assert bucket[where == 2].tolist() == each[2][::2]
 
 
+def plain_risk(f, n_pos, prior):
+    """The risk's two parts by their definition: the positives', and the clean texts' estimate."""
+    loss = lambda x, sign: math.log1p(math.exp(-sign * x))
+    pos, unl = f[:n_pos], f[n_pos:]
+    return prior * sum(loss(x, 1) for x in pos) / len(pos), sum(loss(x, -1) for x in unl) / len(unl) - prior * sum(loss(x, -1) for x in pos) / len(pos)
+
+
+@pytest.mark.parametrize("lift,prior,turned", [(0.0, 0.2, False), (-4.0, 0.6, True)])
+def test_risk_and_slope_equal_the_definition(lift, prior, turned):
+    rng = np.random.default_rng(3)
+    f = np.concatenate([rng.normal(1, 1, 6), rng.normal(lift, 0.5, 11)])
+    part, clean = plain_risk(f, 6, prior)
+    risk, g = toxicity.slope(f, 6, prior)
+    assert (clean < 0) == turned and risk == pytest.approx(part + max(clean, 0))
+    for i in range(len(f)):
+        up, down = f.copy(), f.copy()
+        up[i], down[i] = f[i] + 1e-6, f[i] - 1e-6
+        a, b = plain_risk(up, 6, prior), plain_risk(down, 6, prior)
+        want = -(a[1] - b[1]) / 2e-6 if turned else (sum(a) - sum(b)) / 2e-6
+        assert g[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_screened_fit_equals_a_plain_one():
+    rng = np.random.default_rng(4)
+    pos = [np.flatnonzero(rng.random(12) < np.r_[np.full(4, 0.7), np.full(8, 0.2)]).astype(np.int32) for _ in range(60)]
+    unl = [np.flatnonzero(rng.random(12) < 0.2).astype(np.int32) for _ in range(150)]
+    got = toxicity.fit_nnpu(pos, unl, 0.3, bits=4, steps=40, sparsity=0.0, screen=-1.0)
+    x = np.zeros((210, 16))
+    for i, own in enumerate([*pos, *unl]):
+        x[i, own] = 1
+    w, m, v = np.zeros(17), np.zeros(17), np.zeros(17)
+    w[16] = np.log(0.3 / 0.7)
+    x = np.hstack([x, np.ones((210, 1))])
+    for t in range(1, 41):
+        grad = x.T @ toxicity.slope(np.clip(x @ w, -30, 30), 60, 0.3)[1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w -= toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(got.weights[:12], w[:12], atol=1e-4) and got.bias == pytest.approx(w[16], abs=1e-4)
+
+
+def test_scores_of_long_repeated_and_tied_texts(spark):
+    model = toxicity.fit_nnpu([np.array([1], np.int32)] * 9, [np.array([2], np.int32)] * 9, 0.3)
+    rows = [(1, "bad words " * 60_000), (1, "bad words " * 60_000), (2, "bad words"), (None, "words bad"), (3, None), (4, "")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add(round(r.toxicity, 12))
+    assert len(got) == 6 and all(len(x) == 1 for x in by.values()) and by[3] == by[4]
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rng = np.random.default_rng(12)
+    a, b = (" ".join(rng.choice(WORDS, 80)) for _ in range(2))
+    rows = [(5, a, "x", 1), (5, b, "y", 2), (5, b, "y", 2), (7, a, "z", 3), (8, b, "z", 3), (None, a, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, rows int")
+    for similarity in (None, 0.8):
+        kept = simhash.drop_near_duplicates(df, width=5, similarity=similarity)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (0, a)])
+        assert simhash.drop_near_duplicates(df.limit(0), similarity=similarity).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_functions_run_on_whole_tables(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    one = queries.op1_chroma_fingerprints(spark, SF).collect()
+    assert sorted(r.doc_id for r in one) == sorted(docs) and all((r.n_ints > 0) == (len(docs[r.doc_id].encode()) >= 304) for r in one)
+    packed = queries.op3_best_fit_packing(spark, SF).collect()
+    assert {r.doc_id for r in packed} == set(docs) and len({(r.doc_id, r.piece) for r in packed}) == len(packed)
+    fill = {}
+    for r in sorted(packed, key=lambda r: r.offset):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 1024 and len(fill) <= 1.05 * -(-sum(fill.values()) // 1024) + 1
+    four = queries.op4_embedding_near_dedup(spark, SF).collect()
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    ids = sorted(v)
+    x = pstable.normalised(np.stack([v[i] for i in ids]))
+    assert {r.vec_id: r.n_links for r in four} == dict(zip(ids, ((x @ x.T >= 0.9).sum(1) - 1).tolist(), strict=True))
+    seven = queries.op7_toxicity(spark, SF).collect()
+    assert len(seven) == n and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in seven)
+    ten = queries.op10_simhash_near_dedup(spark, SF).collect()
+    order = sorted(docs)
+    prints = [simhash.fingerprint(docs[i]) for i in order]
+    of = groups(n, [(a, b) for a in range(n) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    least = {}
+    for k, g in enumerate(of):
+        least[g] = min(least.get(g, order[k]), order[k])
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in ten} == {i: (f"{f:016x}", least[g]) for i, f, g in zip(order, prints, of, strict=True)}
+
+
 def test_negative_part_is_turned():
     few = [np.array([1, 2], np.int32)] * 30
     m = toxicity.fit_nnpu(few, few + [np.array([3], np.int32)] * 60, 0.3)

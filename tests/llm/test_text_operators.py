@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lattica.llm import bitpack, bpe_fst, chat, packing, pii, queries, tokens, wordpiece
+from lattica.llm import bitpack, bpe_fst, chat, common, packing, pii, queries, tokens, wordpiece
 from lattica.llm.common import pattern, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +134,54 @@ def test_checked_kinds_context_and_redaction(spark):
     assert clean[4].text == "mail é [EMAIL], card [CARD] x" and clean[0].text == "my IBAN [IBAN]." and clean[5].text is None
 
 
+def test_more_kinds_and_context_on_either_side(spark):
+    texts = [
+        "iban BE68 5390 0754 7034 FROM bank", "219-09-9999 is my ssn", "order 219-09-9999 is my ssn, or serial", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é',
+        "file 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it", "BE68539007547034", "XX68 5390 0754 7034", "key abcdefghijklmnopqrstuvwxyz",
+    ]
+    df = spark.createDataFrame([(i, t, "user's own") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, pii_spans string")
+    got = pii.find_pii(df.drop("pii_spans")).orderBy("doc_id").collect()
+    assert [[(s.kind, s.start, s.end) for s in r.pii_spans] for r in got] == [[("iban", 5, 24)], [("ssn", 0, 11)], [], [("secret", 9, 49)], [], [("iban", 0, 16)], [], [], [("iban", 5, 24)]]
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and {r.pii_spans for r in clean.collect()} == {"user's own"}
+    assert clean.where("doc_id = 0").first().text == "iban [IBAN] FROM bank" and clean.count() == 9
+    assert pii.redact(df.limit(0)).count() == 0 and pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_examples_carry_their_replies(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text <| {t}") for t in range(700)] + [(None, 0, "assistant", "x"), (2, None, "assistant", "a"), (2, -5, "user", "b")]
+    blocks = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), block=16)
+    found = chat.prefix_targets(blocks).withColumn("reply", chat.unescape(F.col("target"))).orderBy("conv_id", "loss_start").collect()
+    assert [r.reply for r in found if r.conv_id == 1] == [f"text <| {t}" for t in range(1, 700, 2)]
+    assert [r.reply for r in found if r.conv_id in (None, 2)] == ["x", "a"]
+    assert all(r.loss_end - r.loss_start == len(r.target) and r.example_chars == r.loss_end + len(chat.END) for r in found)
+    assert chat.prefix_targets(blocks.limit(0)).count() == 0
+
+
+def test_slices_follow_rows_and_bytes():
+    big = pa.RecordBatch.from_pydict({"i": list(range(40)), "t": ["x" * (3000 if k % 7 else 90_000) for k in range(39)] + [None]})
+    parts = list(common.sliced([big], rows=16, size=50_000))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.num_rows for p in parts) <= 16
+    assert [x for p in parts for x in p.column("i").to_pylist()] == list(range(40))
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("t").to_pylist()) <= 50_000 for p in parts)
+    assert list(common.sliced([big.slice(0, 0)])) == []
+
+
+def test_one_operators_state_in_a_worker():
+    first = common.resident(("a",), lambda: [1])
+    assert common.resident(("a",), lambda: [2]) is first
+    assert common.resident(("b",), lambda: [3]) == [3] and common.resident(("a",), lambda: [4]) == [4]
+    common.release()
+
+
+def test_counts_and_files_of_odd_tables(spark, library):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert wordpiece.count_tokens(none, PIECES).count() == 0
+    same = spark.createDataFrame([(4, "a b"), (4, "a b"), (4, None), (1, "c")], "doc_id long, text string")
+    back = bitpack.read_ids(bitpack.write_ids(same, JSON, pattern())).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [1, 4, 4, 4] and [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in back] == [library("c"), [], library("a b"), library("a b")]
+
+
 # ---------------------------------------------------------------- token ids
 
 
