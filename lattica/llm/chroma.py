@@ -238,15 +238,18 @@ def match_recordings(media: DataFrame, id_col: str, media_col: str, query_modulo
     their fingerprint. An empty table gives no rows.
     """
     own = checkpoint(fingerprints(media, id_col, media_col, p))
+    known = F.length("ints") > 0
+    # Equal integers meet by a digest, so that joins carry short keys; rows without integers need no join.
+    full = own.where(known).withColumn("key", F.sha2("ints", 256))
     asked = F.max(F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False)))
-    classes = own.groupBy("ints").agg(F.min("id").alias("rep"), asked.alias("asked"))
-    classes = checkpoint(classes)
-    full = classes.where((F.length("ints") > 0) & F.col("rep").isNotNull())
-    links = search(full, full.where("asked"), align, block_ints)
-    of = classes.join(links, "rep", "left").select("ints", F.col("rep").alias("class_id"), "n_links", F.col("to").alias("best_to"), F.col("offset").alias("best_offset"), F.col("overlap").alias("best_overlap"), F.col("errors").alias("best_errors"))
-    out = own.join(of, "ints", "left")
-    return out.select(
-        "id", "n_bytes", (F.length("ints") / 4).cast("long").alias("n_ints"), "ints", F.when(F.length("ints") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+    classes = checkpoint(full.groupBy("key").agg(F.min("id").alias("rep"), asked.alias("asked"), F.first("ints").alias("ints")))
+    named = classes.where(F.col("rep").isNotNull())
+    links = search(named, named.where("asked"), align, block_ints)
+    of = classes.select("key", "rep").join(links, "rep", "left").select("key", F.col("rep").alias("class_id"), "n_links", F.col("to").alias("best_to"), F.col("offset").alias("best_offset"), F.col("overlap").alias("best_overlap"), F.col("errors").alias("best_errors"))
+    shown = lambda rows: rows.select(
+        "id", "n_bytes", (F.length("ints") / 4).cast("long").alias("n_ints"), "ints", "class_id",
         F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False)).alias("is_query"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best_to", "best_offset", "best_overlap", "best_errors",
     )
+    none = {c: F.lit(None).cast("long") for c in ("n_links", "best_to", "best_offset", "best_overlap", "best_errors")}
+    return shown(full.join(of, "key", "left")).unionAll(shown(own.where(~known).withColumns({"class_id": F.col("id"), **none})))

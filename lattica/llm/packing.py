@@ -3,8 +3,8 @@
 One pass per partition holds a fixed number of open bins, found through a bitset keyed by free space: a piece goes to
 the open bin that it leaves least space in; where none fits, a new bin opens, and if that is one too many, the fullest
 closes. Pieces are looked at `window` at a time, the longest of them first. The pieces of the bins that are open at a
-partition's end, unless almost full, are packed again for `merged` partitions together, so that what a small partition
-leaves half empty doesn't stay so. Pieces never move between tasks before that.
+partition's end, unless almost full, are packed again in the same way for `merged` partitions together, so that what a small
+partition leaves half empty doesn't stay so. Pieces never move between tasks before that.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ ALMOST = 1 / 32
 class BestFit:
     """Open bins by free space. place() returns the item's bin and offset there, and the bins that closed."""
 
-    def __init__(self, capacity: int, open_bins: int | None):
+    def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.most = capacity, open_bins
         self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.bits = self.count = self.made = 0
@@ -113,11 +113,11 @@ def _pieces(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
 
-def _first_pass(capacity: int, open_bins: int, window: int, length_col: str):
-    """Adds sequence_id and offset; rows of bins that stay open get nulls there."""
+def _pass(capacity: int, open_bins: int, window: int, length_col: str, last: bool):
+    """Adds sequence_id and offset; but in the last pass rows of bins that stay open get nulls there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
+        base = (1 << 62 if last else 0) | TaskContext.get().partitionId() << 32
         fit = BestFit(capacity, open_bins)
         #: By open bin: whether each row lies in this batch or among the rows kept of those before, its place there, its offset.
         held: dict[int, list[tuple[bool, int, int]]] = {}
@@ -144,7 +144,7 @@ def _first_pass(capacity: int, open_bins: int, window: int, length_col: str):
             kept = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
             old, new = iter(range(first)), iter(range(first, first + len(places[True])))
             held = {n: [(False, next(new) if here else next(old), at) for here, _, at in rows] for n, rows in held.items()}
-        full = {n for free in range(int(capacity * ALMOST) + 1) for n in fit.at[free]}
+        full = set(held) if last else {n for free in range(int(capacity * ALMOST) + 1) for n in fit.at[free]}
         for done_ in (True, False):
             rest = [(row, base + n, at) for n, rows in held.items() if (n in full) == done_ for _, row, at in rows]
             if rest:
@@ -158,54 +158,32 @@ def _placed(batch: pa.RecordBatch, ids: list[int] | None, offsets: list[int] | N
     return pa.RecordBatch.from_arrays([*batch.columns, none if ids is None else pa.array(ids, pa.int64()), none if offsets is None else pa.array(offsets, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
 
-def _last_pass(capacity: int, length_col: str):
-    """Best-fit of a few partitions' left rows, the longest first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = 1 << 62 | TaskContext.get().partitionId() << 32
-        all_ = [x for x in batches if x.num_rows]
-        if not all_:
-            return
-        rows = pa.Table.from_batches(all_)
-        rows = rows.take(pa.array(np.argsort(-rows.column(length_col).to_numpy(), kind="stable")))
-        fit = BestFit(capacity, None)
-        found = [fit.place(size)[:2] for size in rows.column(length_col).to_pylist()]
-        rows = rows.drop_columns(["sequence_id", "offset"])
-        at = 0
-        for batch in rows.to_batches(4096):
-            part = found[at : at + batch.num_rows]
-            at += batch.num_rows
-            yield _placed(batch, [base + n for n, _ in part], [o for _, o in part])
-
-    return run
-
-
 def _placed_schema(rows: StructType) -> StructType:
     return StructType([*rows.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
 
-def _finish(first: DataFrame, length_col: str, capacity: int, merged: int) -> DataFrame:
+def _finish(first: DataFrame, length_col: str, capacity: int, open_bins: int, window: int, merged: int) -> DataFrame:
     first = stored(first, "snappy")
-    left = first.where("sequence_id is null")
+    left = first.where("sequence_id is null").drop("sequence_id", "offset")
     tasks = max(1, -(-left.rdd.getNumPartitions() // merged))
-    return first.where("sequence_id is not null").unionAll(left.coalesce(tasks).mapInArrow(_last_pass(capacity, length_col), first.schema))
+    return first.where("sequence_id is not null").unionAll(left.coalesce(tasks).mapInArrow(_pass(capacity, open_bins, window, length_col, True), first.schema))
 
 
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, window: int = WINDOW, merged: int = MERGED) -> DataFrame:
     """Add sequence_id and offset to each row: rows of one sequence_id lie gapless from 0 and fill at most the capacity.
 
     Every row is placed once, with all its columns (an existing sequence_id or offset is replaced). Lengths must lie
-    between 1 and the capacity, else the job fails; null lengths fail too. Memory per task is bounded by the open bins of
-    `merged` partitions. An empty table gives no rows. Which ids are given is arbitrary.
+    between 1 and the capacity, else the job fails; null lengths fail too. Memory per task is bounded by its open bins
+    and one batch. An empty table gives no rows. Which ids are given is arbitrary.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    return _finish(pieces.mapInArrow(_first_pass(capacity, open_bins, window, length_col), _placed_schema(pieces.schema)), length_col, capacity, merged)
+    return _finish(pieces.mapInArrow(_pass(capacity, open_bins, window, length_col, False), _placed_schema(pieces.schema)), length_col, capacity, open_bins, window, merged)
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, window: int = WINDOW, merged: int = MERGED) -> DataFrame:
     """pack() of token_pieces(): doc_id, piece, start, length, ids, sequence_id, offset, cut and packed in one pass over the texts."""
-    cut, place = _cut(path, pattern, capacity, end_id), _first_pass(capacity, open_bins, window, "length")
-    return _finish(_texts(docs, id_col, text_col).mapInArrow(lambda batches: place(cut(batches)), _placed_schema(PIECES)), "length", capacity, merged)
+    cut, place = _cut(path, pattern, capacity, end_id), _pass(capacity, open_bins, window, "length", False)
+    return _finish(_texts(docs, id_col, text_col).mapInArrow(lambda batches: place(cut(batches)), _placed_schema(PIECES)), "length", capacity, open_bins, window, merged)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
