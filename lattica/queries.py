@@ -373,6 +373,11 @@ def pca_embedding(spark, d):
     return layout.pca_embedding(points(spark, d))
 
 
+def spectral_embedding(spark, d):
+    p, e = _edges(spark, d)
+    return layout.spectral_embedding(layout.layout_edges(e, p), p)
+
+
 def gaussian_pair(spark, d):
     return gaussian_points(spark, 1000)
 
@@ -402,7 +407,7 @@ _ALL = (
     rw_normalized, sym_normalized, diffusion_5, hard_labels, conf_argmax, conf_margin, conf_entropy, layer_ntile, densify_knn_edges, rw_visits,
     densify_rw_edges, heat_kernel_weights, epochs_per_sample, cumulative_layers, anchor_means, axis_ranges, trace_summary, leiden_core, stable_core,
     fine_grained_core, gmm_anchors, full_pipeline, anchored_layout, cluster_core, choose_resolution, cutoff_knee, knn_lsh, top_per_row, pca_embedding, gaussian_pair,
-    knn_lsh_recall, pagerank_tolerance, out_adjacency, diffusion_tolerance, diffusion_snapshots, fine_grained_vote, gmm_anchors_default, anchor_pulls,
+    knn_lsh_recall, pagerank_tolerance, out_adjacency, diffusion_tolerance, diffusion_snapshots, fine_grained_vote, gmm_anchors_default, anchor_pulls, spectral_embedding,
 )
 
 

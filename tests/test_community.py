@@ -1,11 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_graph import edges_of, nodes_of, points_of, rows
 
 from lattica.functions import kernels, lineage
-from lattica.operators import community, graph
+from lattica.operators import community, graph, layout
 from lattica.plans.config import Config
-from lattica.plans.layered_map import LayeredMap, figure_spec
+from lattica.plans.layered_map import PALETTE, LayeredMap, figure_spec
 from lattica.plans.model import CorePeriphery
 from lattica.sources.points import as_points, gaussian_pair, read_points, write_results
 
@@ -138,6 +139,26 @@ def test_descent_pulls_towards_anchors():
     assert kernels.epochs_per_sample(np.array([2.0, 1.0, 0.0])).tolist() == [1.0, 2.0, -1.0]
 
 
+def test_spectral_start_parts_two_groups(spark):
+    pairs = np.array(cliques([12, 9]))
+    xy = kernels.spectral(21, pairs[:, 0], pairs[:, 1], np.ones(len(pairs)))
+    assert len(set(np.sign(xy[:12, 0]))) == len(set(np.sign(xy[12:, 0]))) == 1 and xy[0, 0] * xy[15, 0] < 0 and np.abs(xy).max() <= 10.01
+    dense = np.zeros((21, 21))
+    np.add.at(dense, (pairs[:, 0], pairs[:, 1]), 0.5)
+    dense += dense.T.copy()
+    d = dense.sum(1)
+    second = np.linalg.eigh(dense / np.sqrt(d[:, None] * d))[1][:, -2]
+    assert abs(np.corrcoef(second, xy[:, 0])[0, 1]) > 0.999
+    e = edges_of(spark, [*map(tuple, pairs.tolist()), (30, 0)]).withColumn("w", F.lit(1.0))
+    got = layout.spectral_embedding(e, spark.range(22))
+    assert [r.id for r in got.orderBy("id").collect()] == list(range(22))  # edges to others are left out, lone nodes stay
+    assert layout.spectral_embedding(e, spark.range(0)).count() == 0
+
+
+def test_colours_are_many():
+    assert len(set(PALETTE)) == len(PALETTE) == 120
+
+
 def test_config():
     c = Config(q=40, r=15, core_frac=0.3, granularity=0.7, resolution=0.4, densify="knn").configure()
     assert (c.flowrank.q, c.flowrank.r, c.stable.core_frac, c.fine.core_frac) == (40, 15, 0.3, 0.3)
@@ -176,6 +197,11 @@ def test_model_separates_two_gaussians(spark):
     spec = figure_spec(quick, model.labels_)
     assert len(spec["layout"]["sliders"][0]["steps"]) == 6 and spec["layout"]["title"] == "Layer 0"
     assert sum(len(t["x"]) for t in spec["data"] if t["visible"]) == layer_count(layer, 0)
+    for k, step in enumerate(spec["layout"]["sliders"][0]["steps"]):
+        shown = [t for t, on in zip(spec["data"], step["args"][0]["visible"], strict=True) if on]
+        assert sum(len(t["x"]) for t in shown) == sum(layer_count(layer, j) for j in range(k + 1)) and len({t["name"] for t in shown}) == len(shown)
+    with pytest.raises(ValueError):
+        figure_spec(quick, model.labels_, most=10)
 
 
 def layer_count(layer, k):
