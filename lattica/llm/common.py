@@ -58,6 +58,13 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are stored: it does so when the driver collects its garbage, which may be
+    long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows, and bytes but for a single row, that a function works on at once, so that a worker holds few texts beside its input.
 ROWS, BYTES = 512, 4 << 20
 
