@@ -131,7 +131,8 @@ def write_ids(docs: DataFrame, path: str, pattern: str, folder: str | None = Non
     a null id have no place in the order and are left out; equal ids are ordered by text. An empty table gives none.
     """
     spark: SparkSession = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}")
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()  # a bare path is the default store's
     system, place = filesystem(folder)
     system.create_dir(place)
     bits = width(max(vocabulary - 1, end_id))
