@@ -195,5 +195,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     of = classes.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
     of = of.select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = wide.join(of, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    shown = lambda rows: rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = wide.where("v is null").withColumns({"n_links": F.lit(0), "component_id": F.col("vec_id")})  # no join: they would all have one key
+    out = shown(wide.where("v is not null").join(of, "v", "left")).unionAll(shown(alone))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
