@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import lineage
+from lattica.functions import lineage, vectors
 from lattica.operators import densify, diffusion, graph, ranking, selection
 
 
@@ -204,3 +204,8 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.shared_folder(Context())
+
+
+def test_clip(spark):
+    got = spark.createDataFrame([(-9.0,), (0.5,), (4.5,)], "x double").select(vectors.clip(F.col("x")))
+    assert [r[0] for r in got.collect()] == [-4.0, 0.5, 4.0]
