@@ -20,7 +20,16 @@ from ..functions.lineage import checkpoint, shared_folder
 T = TypeVar("T")
 
 
+#: Of Arrow batches, by which an executor hands rows to its workers; and the limit that Spark sets if nobody does.
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARKS_OWN = 8 << 20, 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table. Also bounds the session's Arrow batches, unless it has set a bound of its own: an executor holds each in its JVM and in
+    a worker, beside whatever its heap has grown to."""
+    if (spark.conf.get(BATCHES, None) or "").rstrip("b") == str(SPARKS_OWN):
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,22 +94,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTE
                 stop = min(stop, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))))
             yield batch.slice(at, stop - at)
             at = stop
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, size: int = 2 * BYTES) -> Iterator[None]:
-    """Arrow batches of at most about `size` bytes for jobs that run in this context: an executor holds each in its JVM and in its worker,
-    beside whatever its heap has grown to."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    trim()
 
 
 _resident: dict = {}
@@ -117,12 +111,18 @@ def resident(key: tuple, make: Callable[[], T]) -> T:
 
 
 def release() -> None:
-    """Give up what resident() holds, and the freed memory back to the system."""
+    """Give up what resident() holds."""
     if not _resident:
         return
     _resident.clear()
     gc.unfreeze()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which allocators do late or never: a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -25,7 +25,7 @@ ODD_BLANK = re.compile(r" (?:\s|\Z)")
 #: Words looked up together, about; texts with more characters are encoded alone.
 GROUP = 50_000
 #: Bytes of words and of parts that a cache may hold, about, and what an entry takes besides its letters and ids.
-WORD_BYTES, PART_BYTES, ENTRY = 128 << 20, 24 << 20, 140
+WORD_BYTES, PART_BYTES, ENTRY = 96 << 20, 16 << 20, 140
 
 
 class Recent:
