@@ -20,15 +20,14 @@ from ..functions.lineage import checkpoint, shared_folder
 T = TypeVar("T")
 
 
-#: Of Arrow batches, by which an executor hands rows to its workers; and the limit that Spark sets if nobody does.
-BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES, SPARKS_OWN = 8 << 20, 64 << 20
+#: Of the Arrow batches by which an executor hands rows to its workers.
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table. Also bounds the session's Arrow batches, unless it has set a bound of its own: an executor holds each in its JVM and in
     a worker, beside whatever its heap has grown to."""
-    if (spark.conf.get(BATCHES, None) or "").rstrip("b") == str(SPARKS_OWN):
+    if spark.conf.get(BATCHES, None) is None:
         spark.conf.set(BATCHES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
