@@ -1,6 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of sets of word shingles, exactly, by prefix filtering.
+"""Near-duplicates by the Jaccard similarity of sets of word shingles, exactly: SimHash fingerprints first, prefix filtering for the rest.
 
-In any one order of all shingles, two sets of the similarity share a shingle among the first n - ceil(s n) + 1 of each.
+Texts whose fingerprints are equal or within the radius, which vantage-point trees find, are compared first. Similar sets may differ in more
+bits than that, so the other links come from prefix filtering. In any one order of all shingles, two sets of the similarity share a shingle among the first n - ceil(s n) + 1 of each.
 The order puts what is frequent in a bounded sample last, so buckets are small; it shapes the work only, not the result.
 A bucket's texts are first compared with one of them; only pairs that are still in different groups are compared after
 that, so large groups of near copies don't cost the square of their size. Every link is checked on the whole sets.
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, per_batch, release, stored, tidy, unused
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import RADIUS, linked, merge, shingle_hashes, voted
 
 #: Texts among which frequent shingles are counted. Frequent shingles that are put last, at most; rounds of comparisons with one text a bucket before all open pairs.
-SAMPLE, FREQUENT, STARS = 2048, 200_000, 2
+SAMPLE, FREQUENT, STARS = 32_768, 500_000, 2
 #: Different texts of a round's pairs up to which their ids are broadcast, so that only these texts are dealt out.
 HELD = 2_000_000
+#: Links up to which their groups are found on the driver (16 bytes each), not by rounds of jobs.
+FEW_LINKS = 500_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -76,19 +79,32 @@ def _enough(shared: int, x: int, y: int, similarity: float) -> bool:
     return shared * (1 + similarity) >= similarity * (x + y) - 1e-9
 
 
-def similar_groups(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def _grouped(links: DataFrame) -> DataFrame:
+    """(node, component) of the links (a, b); few links take one job instead of two for each of several rounds."""
+    if links.count() > FEW_LINKS:
+        return stored(connected_components(links))
+    t = links.select("a", "b").toArrow()
+    ids, at = np.unique(np.concatenate([t.column(c).to_numpy() for c in "ab"]).astype(np.int64), return_inverse=True)
+    label = np.arange(len(ids))
+    merge(label, at[: t.num_rows], at[t.num_rows :])
+    found = pa.table({"node": pa.array(ids, pa.int64()), "component": pa.array(ids[label], pa.int64())})
+    return stored(links.sparkSession.createDataFrame(found, "node long, component long"))
+
+
+def similar_groups(texts: DataFrame, width: int, similarity: float, radius: int = RADIUS) -> DataFrame:
     """(node, component) for nodes linked to others; texts has node (which stands for the text) and text, rows may repeat."""
     held = texts.sparkSession.sparkContext.broadcast(_frequent(texts, width))
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Size, prefix, the prefix's length and the place in the order of its last shingle."""
+        """Size, fingerprint, prefix, the prefix's length and the place in the order of its last shingle."""
         release()  # what operators before left in this worker
-        sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
+        hashes = [np.array(shingle_hashes(x, width), np.uint64) for x in batch.column(1).to_pylist()]
+        fps, sets = np.array([voted(x) for x in hashes], np.uint64).view(np.int64), [np.unique(x) for x in hashes]
         heads = [prefix(x, similarity, *held.value) for x in sets]
         ends = np.array([h[-1] for h in heads], np.uint64)
         signed = (ends ^ np.uint64(1 << 63)).view(np.int64)  # in the order of the unsigned ones
-        columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), pa.array([len(h) for h in heads], pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(_often(ends, *held.value)), pa.array(signed)], ["node", "n", "heads", "h", "often", "end"])
+        columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), pa.array([len(h) for h in heads], pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(_often(ends, *held.value)), pa.array(signed)], ["node", "n", "fp", "heads", "h", "often", "end"])
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
@@ -105,44 +121,56 @@ def similar_groups(texts: DataFrame, width: int, similarity: float) -> DataFrame
         (n, a), (m, b) = ((k, np.frombuffer(h, "<u8")) for k, h in (x, y))
         return _enough(len(np.intersect1d(a, b, assume_unique=True)), n, m, similarity)
 
-    heads = stored(texts.mapInArrow(per_batch(first), "node long, n long, heads array<long>, h long, often long, end long").dropDuplicates(["node"]))
-    tidy(texts.sparkSession)
-    places = heads.select("node", "n", F.explode("heads").alias("t"))
-    # Shingles of the same texts give the same pairs: one of them, of the weight of all, is enough.
-    shared = places.groupBy("t").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x")).where("k > 1").groupBy("k", "x").agg(F.min("t").alias("t"), F.count("*").alias("w")).select("t", "w")
-    now = stored(places.join(shared, "t").select("t", "node", "n", F.col("node").alias("c"), "w"))
+    heads = stored(texts.mapInArrow(per_batch(first), "node long, n long, fp long, heads array<long>, h long, often long, end long").dropDuplicates(["node"]))
     tidy(texts.sparkSession)
     near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-9)
-    links, seen = None, None
+
+    def verified(open_: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar."""
+        need = stored(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = texts.join(F.broadcast(need) if need.count() <= HELD else need, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+        return _joined(open_, wanted.mapInArrow(per_batch(whole), "node long, n long, sh binary"), similar)
+
+    # Texts of equal fingerprints with one of them, and those with texts whose fingerprints are near.
+    reps = stored(heads.groupBy("fp").agg(F.min("node").alias("rep")).select("rep", "fp"))
+    alike = heads.join(reps, "fp").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
+    ends = linked(reps, radius).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    seen = stored(alike.unionAll(ends).distinct())
+    links = stored(verified(seen))
+    groups = _grouped(links)
+    tidy(texts.sparkSession)
+    places = heads.select("node", "n", F.posexplode("heads").alias("i", "t"))
+    # Shingles of the same texts give the same pairs: one of them, of the weight of all, is enough. It is the first in the order.
+    shared = places.groupBy("t").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum("i").alias("s")).where("k > 1").groupBy("k", "x").agg(F.min_by("t", "s").alias("t"), F.count("*").alias("w")).select("t", "w")
+    now = stored(places.join(shared, "t").join(groups, "node", "left").select("t", "node", "n", "i", F.coalesce("component", "node").alias("c"), "w"))
+    tidy(texts.sparkSession)
     for k in range(STARS + 1):
         if k < STARS:
             centre = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c")).alias("m"))
             other = centre.select("t", F.col("m.node").alias("to"), F.col("m.n").alias("m"), F.col("m.c").alias("d"))
             pairs = now.join(other, "t").where((F.col("c") != F.col("d")) & near)
             pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-            pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-            seen = pairs if seen is None else seen.unionAll(pairs)
+            pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
+            seen = seen.unionAll(pairs)
             open_ = stored(_joined(pairs, heads.select("node", "n", "heads"), possible))
         else:
-            # All pairs in the buckets that still hold several groups: their weights are what two prefixes share.
-            other = now.select(F.col("t").alias("u"), F.col("node").alias("to"), F.col("n").alias("m"), F.col("c").alias("d"))
+            # All pairs in the buckets that still hold several groups: their weights are what two prefixes share. All that two sets share
+            # lies at or after the first shingle that they share, so from one bucket of a pair on both must have enough left.
+            other = now.select(F.col("t").alias("u"), F.col("node").alias("to"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+            left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
             pairs = now.join(other, (F.col("t") == F.col("u")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("d")) & near)
-            pairs = pairs.groupBy(F.col("node").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("shared"))
-            pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = pairs.groupBy(F.col("node").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("shared"), F.max(left).alias("left")).where("left").drop("left")
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
             side = lambda name, tail: heads.select(F.col("node").alias(name), *(F.col(c).alias(c + tail) for c in ("n", "h", "often", "end")))
             both = pairs.join(side("a", ""), "a").join(side("b", "_"), "b")
             ends = F.struct("often", "end") <= F.struct(F.col("often_").alias("often"), F.col("end_").alias("end"))
             most = F.col("shared") + F.when(ends, F.col("n") - F.col("h")).otherwise(F.col("n_") - F.col("h_"))
             open_ = stored(both.where(most * (1 + similarity) >= similarity * (F.col("n") + F.col("n_")) - 1e-9).select("a", "b"))
-        need = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = stored(need)
-        wanted = texts.join(F.broadcast(need) if need.count() <= HELD else need, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-        new = _joined(open_, wanted.mapInArrow(per_batch(whole), "node long, n long, sh binary"), similar)
-        links = stored(new if links is None else links.unionAll(new))
-        groups = stored(connected_components(links))
+        links = stored(links.unionAll(verified(open_)))
+        groups = _grouped(links)
         tidy(texts.sparkSession)
         if k < STARS:
-            now = now.drop("c").join(groups, "node", "left").select("t", "node", "n", F.coalesce("component", "node").alias("c"), "w")
+            now = now.drop("c").join(groups, "node", "left").select("t", "node", "n", "i", F.coalesce("component", "node").alias("c"), "w")
             split = now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
             now = stored(now.join(split, "t"))
             if now.isEmpty():
@@ -150,11 +178,11 @@ def similar_groups(texts: DataFrame, width: int, similarity: float) -> DataFrame
     return groups
 
 
-def drop_similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int = RADIUS) -> DataFrame:
     """Of each group of linked texts the row with the smallest id, once if it repeats; rows with a null id all stay."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text")).where("id is not null")
-    groups = similar_groups(named.select("node", "text"), width, similarity)
+    groups = similar_groups(named.select("node", "text"), width, similarity, radius)
     rows = named.groupBy("id", "node").agg(F.count("*").alias("rows"))
     return drop_components(docs, id_col, text_col, rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
 

@@ -48,8 +48,12 @@ def shingle_hashes(text: str | None, width: int = WIDTH, seed: int = SEED) -> li
 
 def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     """The 64 bits of the text's shingles: a bit is set if over half the hashes set it."""
-    hashes = shingle_hashes(text, width, seed)
-    if not hashes:
+    return voted(shingle_hashes(text, width, seed))
+
+
+def voted(hashes: list[int] | np.ndarray) -> int:
+    """The bits that over half the hashes set; zero for none."""
+    if not len(hashes):
         return 0
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 18):
@@ -260,13 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, similarity: float | None = None) -> DataFrame:
     """Keep the document with the smallest id of each component, once if its row repeats; rows with a null id all stay.
 
-    With a similarity, links are pairs of texts whose sets of `width`-word shingles have that Jaccard similarity or more;
-    without one, links are fingerprints within `radius`. Rows go by id and text, so unlike texts under one id stay apart.
+    With a similarity, links are pairs of texts whose sets of `width`-word shingles have that Jaccard similarity or more: fingerprints
+    within `radius` give the first candidates, a prefix filter those that differ in more bits; without one, links are fingerprints within `radius`. Rows go by id and text, so unlike texts under one id stay apart.
     """
     from .shingles import drop_components, drop_similar  # they use this module's hashes
 
     if similarity is not None:
-        return drop_similar(docs, id_col, text_col, width, similarity)
+        return drop_similar(docs, id_col, text_col, width, similarity, radius)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("node"))
     own = checkpoint(fingerprints(named, "id", "text", width, "node").where("doc_id is not null").groupBy(F.col("doc_id").alias("id"), "node", "fp").agg(F.count("*").alias("rows")))
