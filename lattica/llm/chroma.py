@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sliced
+from .common import sliced, stored, tidy
 
 FILTERS = 16
 
@@ -237,12 +237,13 @@ def match_recordings(media: DataFrame, id_col: str, media_col: str, query_modulo
     their own and link with nothing; rows with a null id share their class's links, and are a class of id null if no other row has
     their fingerprint. An empty table gives no rows.
     """
-    own = checkpoint(fingerprints(media, id_col, media_col, p))
+    own = stored(fingerprints(media, id_col, media_col, p))
     known = F.length("ints") > 0
     # Equal integers meet by a digest, so that joins carry short keys; rows without integers need no join.
     full = own.where(known).withColumn("key", F.sha2("ints", 256))
     asked = F.max(F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False)))
-    classes = checkpoint(full.groupBy("key").agg(F.min("id").alias("rep"), asked.alias("asked"), F.first("ints").alias("ints")))
+    classes = stored(full.groupBy("key").agg(F.min("id").alias("rep"), asked.alias("asked"), F.first("ints").alias("ints")))
+    tidy(media.sparkSession)  # its shuffle carried all integers
     named = classes.where(F.col("rep").isNotNull())
     links = search(named, named.where("asked"), align, block_ints)
     of = classes.select("key", "rep").join(links, "rep", "left").select("key", F.col("rep").alias("class_id"), "n_links", F.col("to").alias("best_to"), F.col("offset").alias("best_offset"), F.col("overlap").alias("best_overlap"), F.col("errors").alias("best_errors"))
