@@ -3,7 +3,8 @@
 Texts whose fingerprints are equal or within the radius, which vantage-point trees find, are compared first. Similar sets may differ in more
 bits than that, so the other links come from prefix filtering. In any one order of all shingles, two sets of the similarity share a shingle among the first n - ceil(s n) + 1 of each.
 The order puts what is frequent in a bounded sample last, so buckets are small; it shapes the work only, not the result.
-A bucket's texts are first compared with one of them; only pairs that are still in different groups are compared after
+Before that, texts with equal bands of least hashes are compared with one of them, which joins most near copies.
+A bucket's texts are first compared with some of them; only pairs that are still in different groups are compared after
 that, so large groups of near copies don't cost the square of their size. Every link is checked on the whole sets.
 """
 
@@ -13,15 +14,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, per_batch, release, stored, tidy, unused
 from .components import connected_components
 from .simhash import RADIUS, linked, merge, shingle_hashes, voted
 
-#: Texts among which frequent shingles are counted. Frequent shingles that are put last, at most; rounds of comparisons with one text a bucket before all open pairs.
-SAMPLE, FREQUENT, STARS = 32_768, 500_000, 2
+#: Texts among which frequent shingles are counted. Frequent shingles that are put last, at most; rounds before all open pairs, the first with one text a bucket.
+SAMPLE, FREQUENT, STARS = 32_768, 500_000, 3
+#: Texts, about, with which later rounds compare the others of a larger bucket: a text may be similar to a few in a hundred of its group only.
+SOME = 64
+#: Bands by which near copies are found before the prefix filter, the values of each, and an odd factor for every value.
+BANDS, ROWS = 8, 4
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Different texts of a round's pairs up to which their ids are broadcast, so that only these texts are dealt out.
 HELD = 2_000_000
 #: Links up to which their groups are found on the driver (16 bytes each), not by rounds of jobs.
@@ -47,6 +53,16 @@ def prefix(own: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.
     return own[np.lexsort((own, _often(own, frequent, counts)))[:n]]
 
 
+def bands(own: np.ndarray) -> np.ndarray:
+    """A hash for each band of least values of the set under multiplications: two sets have one in common with probability J ** ROWS a band."""
+    if not len(own):
+        return np.empty(0, np.uint64)
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, (own[at : at + 4096, None] * FACTORS).min(0))
+    return ((least >> np.uint64(7)) * np.roll(FACTORS, 1)).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+
+
 def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that three or more of about SAMPLE different texts have, sorted, and how many have them."""
     total = texts.count()
@@ -96,15 +112,12 @@ def similar_groups(texts: DataFrame, width: int, similarity: float, radius: int
     held = texts.sparkSession.sparkContext.broadcast(_frequent(texts, width))
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Size, fingerprint, prefix, the prefix's length and the place in the order of its last shingle."""
+        """Size, fingerprint, prefix and bands."""
         release()  # what operators before left in this worker
         hashes = [np.array(shingle_hashes(x, width), np.uint64) for x in batch.column(1).to_pylist()]
         fps, sets = np.array([voted(x) for x in hashes], np.uint64).view(np.int64), [np.unique(x) for x in hashes]
-        heads = [prefix(x, similarity, *held.value) for x in sets]
-        ends = np.array([h[-1] for h in heads], np.uint64)
-        signed = (ends ^ np.uint64(1 << 63)).view(np.int64)  # in the order of the unsigned ones
-        columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), pa.array([len(h) for h in heads], pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(_often(ends, *held.value)), pa.array(signed)], ["node", "n", "fp", "heads", "h", "often", "end"])
+        lists = [pa.array([f(x).view(np.int64) for x in sets], pa.list_(pa.int64())) for f in (lambda x: prefix(x, similarity, *held.value), bands)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), *lists], ["node", "n", "fp", "heads", "bands"])
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
@@ -121,56 +134,60 @@ def similar_groups(texts: DataFrame, width: int, similarity: float, radius: int
         (n, a), (m, b) = ((k, np.frombuffer(h, "<u8")) for k, h in (x, y))
         return _enough(len(np.intersect1d(a, b, assume_unique=True)), n, m, similarity)
 
-    heads = stored(texts.mapInArrow(per_batch(first), "node long, n long, fp long, heads array<long>, h long, often long, end long").dropDuplicates(["node"]))
+    heads = stored(texts.mapInArrow(per_batch(first), "node long, n long, fp long, heads array<long>, bands array<long>").dropDuplicates(["node"]))
     tidy(texts.sparkSession)
     near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-9)
+    # All that two sets share lies at or after the first shingle that they share, so from one bucket of a pair on both must have enough left.
+    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
-    def verified(open_: DataFrame) -> DataFrame:
+    def starred(rows: DataFrame, some: int, lot: int, where: Column | None = None) -> DataFrame:
+        """The pairs of the rows (t, node, n, i, c) of each t with one of them, or where they are more than `some` with about as many, by lot."""
+        if some == 1:
+            drawn = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("node", F.lit(lot)).alias("h"), "node", "n", "i", "c")).alias("r")).select("t", "r.*")
+        else:
+            share = F.ceil(F.col("rows") / some)
+            drawn = rows.join(rows.groupBy("t").agg(F.count("*").alias("rows")).where(F.col("rows") > some), "t").where(F.pmod(F.xxhash64("node", F.lit(lot)), share) == 0)
+        other = drawn.select("t", F.col("node").alias("to"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+        met = rows.join(other, "t").where((F.col("c") != F.col("d")) & near)
+        return ordered(met if where is None else met.where(where))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar."""
+        open_ = stored(_joined(pairs, heads.select("node", "n", "heads"), possible))
         need = stored(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         wanted = texts.join(F.broadcast(need) if need.count() <= HELD else need, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
         return _joined(open_, wanted.mapInArrow(per_batch(whole), "node long, n long, sh binary"), similar)
 
-    # Texts of equal fingerprints with one of them, and those with texts whose fingerprints are near.
+    # Texts of equal fingerprints with one of them, those with texts whose fingerprints are near, and texts of equal bands with one of them.
     reps = stored(heads.groupBy("fp").agg(F.min("node").alias("rep")).select("rep", "fp"))
     alike = heads.join(reps, "fp").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
     ends = linked(reps, radius).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    seen = stored(alike.unionAll(ends).distinct())
+    banded = heads.select(F.explode("bands").alias("t"), "node", "n", F.lit(0).alias("i"), F.col("node").alias("c"))
+    seen = stored(alike.unionAll(ends).unionAll(starred(banded, 1, 0)).distinct())
     links = stored(verified(seen))
     groups = _grouped(links)
     tidy(texts.sparkSession)
     places = heads.select("node", "n", F.posexplode("heads").alias("i", "t"))
-    # Shingles of the same texts give the same pairs: one of them, of the weight of all, is enough. It is the first in the order.
-    shared = places.groupBy("t").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum("i").alias("s")).where("k > 1").groupBy("k", "x").agg(F.min_by("t", "s").alias("t"), F.count("*").alias("w")).select("t", "w")
-    now = stored(places.join(shared, "t").join(groups, "node", "left").select("t", "node", "n", "i", F.coalesce("component", "node").alias("c"), "w"))
+    # Shingles of the same texts give the same pairs: the first of them in the order is enough.
+    shared = places.groupBy("t").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum("i").alias("s")).where("k > 1").groupBy("k", "x").agg(F.min_by("t", "s").alias("t")).select("t")
+    now = stored(places.join(shared, "t").join(groups, "node", "left").select("t", "node", "n", "i", F.coalesce("component", "node").alias("c")))
     tidy(texts.sparkSession)
     for k in range(STARS + 1):
         if k < STARS:
-            centre = now.groupBy("t").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c")).alias("m"))
-            other = centre.select("t", F.col("m.node").alias("to"), F.col("m.n").alias("m"), F.col("m.c").alias("d"))
-            pairs = now.join(other, "t").where((F.col("c") != F.col("d")) & near)
-            pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-            pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
-            seen = seen.unionAll(pairs)
-            open_ = stored(_joined(pairs, heads.select("node", "n", "heads"), possible))
-        else:
-            # All pairs in the buckets that still hold several groups: their weights are what two prefixes share. All that two sets share
-            # lies at or after the first shingle that they share, so from one bucket of a pair on both must have enough left.
+            pairs = starred(now, SOME if k else 1, k, left)
+        else:  # all pairs in the buckets that still hold several groups
             other = now.select(F.col("t").alias("u"), F.col("node").alias("to"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
-            left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9
-            pairs = now.join(other, (F.col("t") == F.col("u")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("d")) & near)
-            pairs = pairs.groupBy(F.col("node").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("shared"), F.max(left).alias("left")).where("left").drop("left")
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-            side = lambda name, tail: heads.select(F.col("node").alias(name), *(F.col(c).alias(c + tail) for c in ("n", "h", "often", "end")))
-            both = pairs.join(side("a", ""), "a").join(side("b", "_"), "b")
-            ends = F.struct("often", "end") <= F.struct(F.col("often_").alias("often"), F.col("end_").alias("end"))
-            most = F.col("shared") + F.when(ends, F.col("n") - F.col("h")).otherwise(F.col("n_") - F.col("h_"))
-            open_ = stored(both.where(most * (1 + similarity) >= similarity * (F.col("n") + F.col("n_")) - 1e-9).select("a", "b"))
-        links = stored(links.unionAll(verified(open_)))
+            pairs = ordered(now.join(other, (F.col("t") == F.col("u")) & (F.col("node") < F.col("to")) & (F.col("c") != F.col("d")) & near & left))
+        pairs = stored(stored(pairs).join(seen, ["a", "b"], "left_anti"))  # stored, or Spark drops the seen ones before equal ones
+        seen = seen.unionAll(pairs)
+        links = stored(links.unionAll(verified(pairs)))
         groups = _grouped(links)
         tidy(texts.sparkSession)
         if k < STARS:
-            now = now.drop("c").join(groups, "node", "left").select("t", "node", "n", "i", F.coalesce("component", "node").alias("c"), "w")
+            now = now.drop("c").join(groups, "node", "left").select("t", "node", "n", "i", F.coalesce("component", "node").alias("c"))
             split = now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
             now = stored(now.join(split, "t"))
             if now.isEmpty():
