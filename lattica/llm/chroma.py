@@ -194,38 +194,39 @@ class Catalogue:
 
 
 def search(prints: DataFrame, queries: DataFrame, align: Align = Align(), block_ints: int = 4_000_000) -> DataFrame:
-    """Align every class of `prints` (rep, ints) with every one of `queries` (rep, ints), itself excepted.
+    """Align every recording of `prints` (key, ints) with every one of `queries` (key, rep, ints), those of its own key excepted.
 
-    Returns one row per class that aligns with a query: rep, n_links, and of its best link (fewest bit errors a bit, then
-    most overlap, then smallest id) to, offset, overlap, errors. Queries are held in blocks of about `block_ints`
-    integers, one broadcast each, so memory does not grow with their number; a pass reads all prints.
+    Returns one row per key that aligns with a query: key, n_links, and of its best link (fewest bit errors a bit, then
+    most overlap, then smallest rep) to, offset, overlap, errors. Recordings of one key are equal. Queries are held in blocks of about
+    `block_ints` integers, one broadcast each, so memory does not grow with their number; a pass reads all prints.
     """
     spark = prints.sparkSession
     total = queries.agg(F.sum(F.length("ints")).alias("n")).first().n or 0
     blocks = max(1, -(-int(total) // (4 * block_ints)))
     found = None
     for k in range(blocks):
-        rows = sorted(queries.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k).select("rep", "ints").collect())
-        held = spark.sparkContext.broadcast(([r.rep for r in rows], [bytes(r.ints) for r in rows]))
+        rows = sorted(queries.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k).select("rep", "key", "ints").collect())
+        held = spark.sparkContext.broadcast(([r.rep for r in rows], [bytes(r.ints) for r in rows], {bytes(r.key): r.rep for r in rows}))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, raw = held.value
+        def run(batches: Iterator[pa.RecordBatch], held=held, k=k) -> Iterator[pa.RecordBatch]:
+            ids, raw, own = held.value
             catalogue = Catalogue(ids, [np.frombuffer(x, "<u4") for x in raw], align)
             for batch in batches:
                 out = []
-                for rep, ints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    links = sorted((e / (32 * o), -o, q, off, e) for q, off, o, e in catalogue.align(np.frombuffer(ints, "<u4")) if q != rep)
+                for key, ints in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items():
+                    links = sorted((e / (32 * o), -o, q, off, e) for q, off, o, e in catalogue.align(np.frombuffer(ints, "<u4")) if q != own.get(key))
                     if links:
                         rate, overlap, q, offset, errors = links[0]
-                        out.append((rep, len(links), rate, q, offset, -overlap, errors))
+                        out.append((key, k, len(links), rate, q, offset, -overlap, errors))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["rep", "n_links", "rate", "to", "offset", "overlap", "errors"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "block", "n_links", "rate", "to", "offset", "overlap", "errors"])
 
-        part = prints.select("rep", "ints").mapInArrow(run, "rep long, n_links long, rate double, to long, offset long, overlap long, errors long")
+        part = prints.select("key", "ints").mapInArrow(run, "key binary, block long, n_links long, rate double, to long, offset long, overlap long, errors long")
         found = part if found is None else found.unionAll(part)
     best = F.min(F.struct("rate", (-F.col("overlap")).alias("less"), "to", "offset", "errors")).alias("b")
-    found = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), best)
-    return found.select("rep", "n_links", F.col("b.to").alias("to"), F.col("b.offset").alias("offset"), (-F.col("b.less")).alias("overlap"), F.col("b.errors").alias("errors"))
+    found = found.groupBy("key", "block").agg(F.max("n_links").alias("n_links"), best)  # of each block once, however often a recording repeats
+    found = found.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.min("b").alias("b"))
+    return found.select("key", "n_links", F.col("b.to").alias("to"), F.col("b.offset").alias("offset"), (-F.col("b.less")).alias("overlap"), F.col("b.errors").alias("errors"))
 
 
 def match_recordings(media: DataFrame, id_col: str, media_col: str, query_modulo: int = 100, p: Params = Params(), align: Align = Align(), block_ints: int = 4_000_000) -> DataFrame:
@@ -233,23 +234,23 @@ def match_recordings(media: DataFrame, id_col: str, media_col: str, query_modulo
 
     One row per input row: id, n_ints, ints, class_id (smallest id with equal integers), is_query, n_links (classes of
     queries, other than its own, that it aligns with), best_to, best_offset, best_overlap, best_errors (null without
-    links). Equal fingerprints are searched once. Rows without integers (null, empty or too short media) are each a class of
+    links). Equal fingerprints of a batch are searched once. Rows without integers (null, empty or too short media) are each a class of
     their own and link with nothing; rows with a null id share their class's links, and are a class of id null if no other row has
     their fingerprint. An empty table gives no rows.
     """
     own = stored(fingerprints(media, id_col, media_col, p))
     known = F.length("ints") > 0
-    # Equal integers meet by a digest, so that joins carry short keys; rows without integers need no join.
-    full = own.where(known).withColumn("key", F.sha2("ints", 256))
-    asked = F.max(F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False)))
-    classes = stored(full.groupBy("key").agg(F.min("id").alias("rep"), asked.alias("asked"), F.first("ints").alias("ints")))
-    tidy(media.sparkSession)  # its shuffle carried all integers
-    named = classes.where(F.col("rep").isNotNull())
-    links = search(named, named.where("asked"), align, block_ints)
-    of = classes.select("key", "rep").join(links, "rep", "left").select("key", F.col("rep").alias("class_id"), "n_links", F.col("to").alias("best_to"), F.col("offset").alias("best_offset"), F.col("overlap").alias("best_overlap"), F.col("errors").alias("best_errors"))
+    # Equal integers meet by a digest, so that their integers are stored once and dealt out once, with the result; rows without integers need no join.
+    full = own.where(known).withColumn("key", F.unhex(F.sha2("ints", 256)))
+    is_query = F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False))
+    classes = stored(full.groupBy("key").agg(F.min("id").alias("rep")))
+    asked = stored(full.where(is_query).groupBy("key").agg(F.first("ints").alias("ints")).join(classes, "key"))
+    links = stored(search(full.where("id is not null"), asked, align, block_ints))
+    tidy(media.sparkSession)
+    of = classes.join(links, "key", "left").select("key", F.col("rep").alias("class_id"), "n_links", F.col("to").alias("best_to"), F.col("offset").alias("best_offset"), F.col("overlap").alias("best_overlap"), F.col("errors").alias("best_errors"))
     shown = lambda rows: rows.select(
         "id", "n_bytes", (F.length("ints") / 4).cast("long").alias("n_ints"), "ints", "class_id",
-        F.coalesce(F.pmod(F.col("id"), F.lit(query_modulo)) == 0, F.lit(False)).alias("is_query"),
+        is_query.alias("is_query"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best_to", "best_offset", "best_overlap", "best_errors",
     )
     none = {c: F.lit(None).cast("long") for c in ("n_links", "best_to", "best_offset", "best_overlap", "best_errors")}
