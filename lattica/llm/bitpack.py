@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, sliced, texts
+from .common import checkpoint, shared_dir, sliced
 from .tokens import encoder
 
 MAGIC, BLOCK_IDS = b"LATBITS1", 65536
@@ -140,8 +140,8 @@ def write_ids(docs: DataFrame, path: str, pattern: str, folder: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, first = encoder(path, pattern).encode_all, None, 0
-        for part in sliced(batches, 256):
-            for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part, 1)), strict=True):
+        for part in sliced(batches, 1024):
+            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                 if writer is None:
                     name, first = f"{folder}/{uuid.uuid4().hex}.ids", doc
                     writer = Writer(name, bits)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident, sliced, texts
+from .common import resident, sliced
 from .tokens import WordCache
 
 
@@ -307,7 +307,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _machines(path, pattern)[0].encode_all
         for part in sliced(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(encode(texts(part, 1)))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(encode(part.column(1)))], ["doc_id", "ids"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -332,7 +332,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         encoder, tokens = _machines(path, pattern)
         encode, decoder = encoder.encode_all, StreamDecoder(tokens)
         for part in sliced(batches):
-            ids = encode(texts(part, 1))
+            ids = encode(part.column(1))
             text = [decoder.feed(array("I", x).tolist()) + decoder.end() for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 

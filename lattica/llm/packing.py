@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import sliced, stored, texts
+from .common import sliced, stored
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -74,7 +74,7 @@ def _cut(path: str, pattern: str, capacity: int, end_id: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for part in sliced([batch], 256):
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts(part, 1)), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += end
                     total = len(ids) // 4
                     start, piece = 0, 0

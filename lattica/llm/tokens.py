@@ -4,6 +4,8 @@ The byte-level pre-tokeniser always cuts before a blank that a word follows, and
 alone, so a text's ids are the ids of its blank-led words in a row. Words repeat, so most come from the cache; the
 others are cut by the tokenizer's pattern and their unknown parts go to the library's model. Texts with other blanks, or
 with characters that Unicode versions class differently, go to the library whole.
+
+Texts of ordinary length are cut and put together again in Arrow's arrays: Python sees the different words of a slice only.
 """
 
 from __future__ import annotations
@@ -11,21 +13,28 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import filterfalse, pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import resident
 
-#: Characters that all Unicode versions of the last years class alike.
-UNSURE = re.compile(r"[^\x01-\u0557\u0600-\u06ff\u0900-\u097f\u1e00-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u9fff\uac00-\ud7a3]")
-#: A blank after which no word starts: there the text is not cut at blanks alone.
-ODD_BLANK = re.compile(r" (?:\s|\Z)")
+#: Characters but those that all Unicode versions of the last years class alike. Like the next, for Python's re and for RE2.
+UNSURE = "[^\x01-\u0557\u0600-\u06ff\u0900-\u097f\u1e00-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u9fff\uac00-\ud7a3]"
+#: A blank after which no word starts (another of Python's blanks or the end does): there the text is not cut at blanks alone.
+ODD_BLANK = " (?:[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|$)"
 
 
-#: Words looked up together, about; texts with more characters are encoded alone.
+#: Words looked up together; texts of more bytes are encoded alone.
 GROUP = 50_000
+LONG = 1 << 20
+#: New words that the library's model takes at once.
+AT_ONCE = 4096
 #: Bytes of words and of parts that a cache may hold, about, and what an entry takes besides its letters and ids.
-WORD_BYTES, PART_BYTES, ENTRY = 96 << 20, 16 << 20, 140
+WORD_BYTES, PART_BYTES, ENTRY = 128 << 20, 16 << 20, 140
 
 
 class Recent:
@@ -42,9 +51,9 @@ class Recent:
             self.old = self.young if self.size < 2 * self.most else {}
             self.young, self.size = {}, 0
 
-    def missing(self, keys: set[str]) -> set[str]:
+    def missing(self, keys) -> set[str]:
         """The keys that neither generation has; keys that only the old one has move up."""
-        new, old = keys.difference(self.young), self.old
+        new, old = set(filterfalse(self.young.__contains__, keys)), self.old
         if new and old:
             up = [k for k in new if k in old]
             self.put(up, [old[k] for k in up])
@@ -63,14 +72,22 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + n) for n, b in enumerate(others)}}
 
 
+def _strings(x: pa.Array) -> list[str]:
+    """to_pylist(), which goes value by value, but sooner."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordCache:
     """Token ids of texts from those of their words, for tokenizers that cut texts by a byte-level pattern and encode parts alone.
 
     Words and parts used of late are kept, of bounded bytes.
     """
 
+    #: What a text that is not cut at blanks holds.
+    odd = ODD_BLANK
+
     def __init__(self, pattern: str, word_bytes: int = WORD_BYTES, part_bytes: int = PART_BYTES):
-        self.find = regex.compile(pattern).findall
+        self.find, self.uncut = regex.compile(pattern).findall, re.compile(self.odd).search
         self.words = Recent(word_bytes)  # by what follows the blank
         self.parts = Recent(part_bytes)
 
@@ -82,9 +99,6 @@ class WordCache:
         """The ids of a text that is not cut at blanks."""
         raise NotImplementedError
 
-    def uncut(self, text: str) -> bool:
-        return ODD_BLANK.search(text) is not None
-
     def _learn(self, words: set[str]) -> None:
         """Cache the ids of blanks followed by these words.
 
@@ -124,13 +138,13 @@ class WordCache:
         self.parts.put(new, self.new_parts(new))
         return self.parts.young
 
-    def _ready(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of these words and others."""
+    def _ready(self, words: list[str]) -> list[bytes]:
+        """Ids of these words."""
         self.words.turn()
         new = self.words.missing(words)
         if new:
             self._learn(new)
-        return self.words.young
+        return list(map(self.words.young.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -139,62 +153,63 @@ class WordCache:
         first, *rest = text.split(" ")
         out = [self.whole(first)] if first else []
         for at in range(0, len(rest), GROUP):  # the cache may start anew between slices
-            words = rest[at : at + GROUP]
-            out += map(self._ready(set(words)).__getitem__, words)
+            out += self._ready(rest[at : at + GROUP])
         return b"".join(out)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """encode() of each; texts of ordinary length are looked up together."""
-        out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        count = 0
-
-        def flush() -> None:
-            known = self._ready(set().union(*(words for _, words in waiting)))
-            for k, words in waiting:
-                out[k] += b"".join(map(known.__getitem__, words))
-            waiting.clear()
-
-        for k, text in enumerate(texts):
-            if len(text) > GROUP or self.uncut(text):
-                out[k] = self.encode(text)
-                continue
-            first, *rest = text.split(" ")
-            if first:
-                out[k] = self.whole(first)
-            waiting.append((k, rest))
-            count += len(rest)
-            if count > GROUP:
-                flush()
-                count = 0
-        flush()
-        return out
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        """encode() of each text of a column; null counts as empty. Texts of ordinary length are looked up together."""
+        texts = pc.fill_null(column, "")
+        alone = pc.or_(pc.match_substring_regex(texts, self.odd), pc.greater(pc.binary_length(texts), LONG))
+        out = {k: self.encode(texts[k].as_py()) for k in np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist()}
+        cut = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        words, starts = cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        led = np.ones(len(words), bool)
+        led[starts[:-1]] = False  # a text's first word follows no blank
+        coded = words.filter(pa.array(led)).dictionary_encode()
+        ids = pa.array(self._ready(_strings(coded.dictionary)), pa.binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        ends, data = ends[starts - np.arange(len(starts))].tolist(), memoryview(data or b"")
+        first = _strings(words.take(pa.array(starts[:-1])))
+        begun = {x: self.whole(x) if x else b"" for x in set(first)}
+        return [out[k] if k in out else begun[x] + data[a:b] for k, (x, (a, b)) in enumerate(zip(first, pairwise(ends), strict=True))]
 
 
 class CachedEncoder(WordCache):
     """The tokenizers library's ids."""
 
+    odd = f"{UNSURE}|{ODD_BLANK}"
+
     def __init__(self, path: str, pattern: str):
         super().__init__(pattern)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.letters = self.library.model, byte_letters()
-
-    def uncut(self, text: str) -> bool:
-        return UNSURE.search(text) is not None or ODD_BLANK.search(text) is not None
+        #: The same model for parts spelled in the vocabulary's letters, with blanks between them; the letters of each token.
+        self.spelled = Tokenizer(self.library.model)
+        self.spelled.pre_tokenizer = WhitespaceSplit()
+        self.letters = byte_letters() | {0: " "}
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(1 + max(vocabulary.values()), np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def new_parts(self, parts: list[str]) -> list[bytes]:
-        if not parts:
-            return []
-        tokenize = self.model.tokenize
-        spelled = "\0".join(parts).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split(self.letters[0])
-        return [array("I", [t.id for t in tokenize(letters)]).tobytes() for letters in spelled]
+        """The model takes many at once; a part's tokens are those that end where it does, or before that."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), AT_ONCE):
+            raw = "\0".join(parts[at : at + AT_ONCE]).encode("utf-8", "surrogatepass")
+            ids = np.array(self.spelled.encode_batch_fast([raw.decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0), len(raw))
+            ends -= np.arange(len(ends))
+            stops, data = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1, ids.tobytes()
+            out += [data[a:b] for a, b in pairwise([0, *(4 * stops).tolist()])]
+        return out
 
 
 def encoder(path: str, pattern: str) -> CachedEncoder:

@@ -202,6 +202,27 @@ def test_cached_encoder_fuzz(library, text):
     assert np.frombuffer(tokens.encoder(JSON, pattern()).encode(text), "<u4").tolist() == library(text)
 
 
+def test_columns_of_texts_are_encoded_by_their_different_words(library, reference, monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 3)
+    monkeypatch.setattr(tokens, "LONG", 10_000)
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert all(re.search(tokens.ODD_BLANK, f"a {c}b") for c in blanks) and re.search(tokens.ODD_BLANK, "a ") and not re.search(tokens.ODD_BLANK, "a b\n\u200bc")
+    given = ["skipped", *(t for _, t in ODD), "été où, naïveté!! où", "\nstarts so", *(f"a {c}b{c} c" for c in blanks), *(f"ends so{c}" for c in blanks)]
+    column = pa.array(given).slice(1)
+    for encoder, expected in ((tokens.CachedEncoder(JSON, pattern()), library), (bpe_fst.Encoder(RANKS, pattern()), lambda x: reference.encode_ordinary(x or ""))):
+        for _ in range(2):  # the second time from the cache
+            assert [np.frombuffer(x, "<u4").tolist() for x in small_memory(encoder, 3000).encode_all(column)] == [expected(t) for t in given[1:]]
+        assert encoder.encode_all(column.slice(0, 0)) == [] and encoder.encode_all(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_the_model_takes_new_parts_together():
+    e, calls = tokens.CachedEncoder(JSON, pattern()), []
+    whole, e.spelled = e.spelled, type("Counted", (), {"encode_batch_fast": lambda _, x, **k: calls.append(x) or whole.encode_batch_fast(x, **k)})()
+    parts = [" fox", "s", ".\"", " été", "日本", "123", " <|endoftext|>"]
+    assert e.new_parts(parts) == [e.whole(p) for p in parts[:-1]] + e.new_parts(parts[-1:]) and len(calls) == 2
+    assert e.new_parts([]) == []
+
+
 def test_pieces_and_packing(spark, docs, library):
     rows = packing.pack_documents(docs, JSON, pattern(), capacity=64, open_bins=3, window=4).collect()
     by_doc, by_sequence = {}, {}
