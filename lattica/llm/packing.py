@@ -73,7 +73,7 @@ def _cut(path: str, pattern: str, capacity: int, end_id: int):
         encode = encoder(path, pattern).encode_all
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for part in sliced([batch], 256):
+            for part in sliced([batch], 1024):
                 for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += end
                     total = len(ids) // 4

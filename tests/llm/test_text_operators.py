@@ -245,6 +245,14 @@ def test_pieces_and_packing(spark, docs, library):
     assert packing.pack_documents(docs.limit(0), JSON, pattern()).count() == 0
 
 
+def test_texts_of_a_batch_are_looked_up_together(library, monkeypatch):
+    calls, encode_all = [], tokens.CachedEncoder.encode_all
+    monkeypatch.setattr(tokens.CachedEncoder, "encode_all", lambda self, column: calls.append(len(column)) or encode_all(self, column))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": pa.array([None, *(f"text {k} of a batch." for k in range(1, 1000))])})
+    pieces = [x for b in packing._cut(JSON, pattern(), 1024, 2)(iter([batch])) for x in b.to_pylist()]
+    assert calls == [1000] and [np.frombuffer(p["ids"], "<u4").tolist() for p in pieces] == [[*library(t), 2] for t in batch.column("text").to_pylist()]
+
+
 def test_packing_is_near_the_bound(spark):
     lengths = np.random.default_rng(1).integers(1, 900, 5000)
     table = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "k long, length long").repartition(5)
