@@ -389,16 +389,16 @@ def hops_ranking(spark, d):
 
 def _model(spark, d) -> CorePeriphery:
     config = Config(q=Q, r=R, core_frac=WIDE, granularity=RESOLUTION, resolution=RESOLUTION)
-    return CorePeriphery(points(spark, d).select("id", "features"), **config.unpack()).run()
+    return CorePeriphery(points(spark, d).select("id", "features"), **config.unpack())
 
 
 def full_pipeline(spark, d):
-    m = _model(spark, d)
+    m = _model(spark, d).run()
     return m.labels_.join(m.layers_, "id").join(m.scores_, "id").select("id", "label", "layer", "score")
 
 
 def anchored_layout(spark, d):
-    return layered_map.LayeredMap(_model(spark, d), fast_view=False).layout_
+    return layered_map.run_with_map(_model(spark, d), fast_view=False).layout_
 
 
 _ALL = (
